@@ -2,20 +2,35 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lamella.llm import exact_dedup
+from lamella.llm import bpe, exact_dedup, mixing
 from lamella.llm.common import table
 
 
+#: Where the published tokenizers lie; a parameter of whoever runs the queries.
+TOKENIZERS = os.environ.get("TOKENIZERS", "/opt/tokenizers")
+
+
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_bpe": op5_bpe,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_mixing": op9_mixing,
 }
 
 #: Lower-cases A-Z alone, as the operators do.
@@ -27,4 +42,31 @@ SQL: dict[str, str] = {
                row_number() OVER (PARTITION BY t ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(t) AS text_sha256
         FROM (SELECT doc_id, {LOWER} AS t FROM documents)
         WINDOW g AS (PARTITION BY t)""",
+    "op9_mixing": r"""
+        WITH docs AS (
+            SELECT doc_id, source, md5(coalesce(doc_id::VARCHAR, '')) AS key,
+                   len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size
+            FROM documents),
+        sources AS (
+            SELECT *, 1.0::DOUBLE + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS weight, 3 * s AS cap
+            FROM (SELECT source, sum(size)::BIGINT AS s FROM docs GROUP BY source)),
+        levels AS (
+            SELECT *, (sum(s) OVER () - coalesce(sum(cap) OVER r, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER r, 0)) AS level
+            FROM sources
+            WINDOW r AS (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+        goals AS (SELECT source, s AS source_size, least(cap::DOUBLE, weight * max(level) OVER ()) AS target FROM levels),
+        queue AS (
+            SELECT doc_id, source, key, size, source_size, target,
+                   row_number() OVER q AS place, (sum(size) OVER q)::BIGINT AS through
+            FROM docs JOIN goals USING (source)
+            WINDOW q AS (PARTITION BY source ORDER BY key, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+        slots AS (
+            SELECT source, place, size, sum(size) OVER (
+                ORDER BY (turn * source_size + through)::DOUBLE / target, source, key, place, turn
+                ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS used
+            FROM (SELECT *, unnest(range(ceil(target / source_size)::BIGINT)) AS turn FROM queue WHERE size > 0))
+        SELECT doc_id, size, source_size, target,
+               size * coalesce((SELECT count(*) FROM slots WHERE slots.source = queue.source AND slots.place = queue.place
+                                AND used <= (SELECT sum(size) FROM docs)), 0)::BIGINT AS taken
+        FROM queue""",
 }
