@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lamella.llm import bpe, exact_dedup, mixing
+from lamella.llm import bpe, exact_dedup, mixing, warc
 from lamella.llm.common import table
 
 
@@ -27,10 +27,15 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_bpe": op5_bpe,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_mixing": op9_mixing,
+    "op10_warc": op10_warc,
 }
 
 #: Lower-cases A-Z alone, as the operators do.
@@ -69,4 +74,11 @@ SQL: dict[str, str] = {
                size * coalesce((SELECT count(*) FROM slots WHERE slots.source = queue.source AND slots.place = queue.place
                                 AND used <= (SELECT sum(size) FROM docs)), 0)::BIGINT AS taken
         FROM queue""",
+    "op10_warc": """
+        SELECT page_id, strlen(h) AS payload_bytes, sha256(h) AS payload_digest,
+               CASE WHEN again > 1 THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN again > 1 THEN first END AS refers_to
+        FROM (SELECT page_id, h, min(page_id) OVER (PARTITION BY h) AS first,
+                     CASE WHEN strlen(h) >= 100 THEN row_number() OVER (PARTITION BY h ORDER BY page_id NULLS LAST) ELSE 1 END AS again
+              FROM (SELECT page_id, coalesce(html, '') AS h FROM pages))""",
 }

@@ -1,0 +1,96 @@
+import gzip
+import hashlib
+import io
+
+import pytest
+from pyspark.sql.datasource import EqualTo, GreaterThan, StringStartsWith
+
+from lamella.llm import warc
+
+BIG = "<p>" + "é" * 100 + "</p>"
+
+
+def page_rows():
+    return [
+        (5, "http://a/5", BIG), (2, "http://a/2", BIG), (9, None, BIG), (3, "http://b/3\r\nX: y", "short"), (4, "http://b/4", "short"),
+        (6, "http://b/6", None), (7, "", ""), (8, "http://c/8", "x" * 300000), (8, "http://c/8", "x" * 300000), (None, "http://d", BIG),
+    ]
+
+
+def test_round_trip_of_pages(spark):
+    pages = spark.createDataFrame(page_rows(), "page_id long, url string, html string").selectExpr("*", "'z' AS record_type", "1 AS again")
+    out = [tuple(r)[:5] for r in warc.round_trip(pages).collect()]
+    sha = lambda x: hashlib.sha256((x or "").encode()).hexdigest()
+    expected = [
+        (5, "revisit", 206 + 1, sha(BIG), 2), (2, "response", 207, sha(BIG), None), (9, "revisit", 207, sha(BIG), 2), (None, "revisit", 207, sha(BIG), 2),
+        (3, "response", 5, sha("short"), None), (4, "response", 5, sha("short"), None), (6, "response", 0, sha(""), None), (7, "response", 0, sha(""), None),
+        (8, "response", 300000, sha("x" * 300000), None), (8, "revisit", 300000, sha("x" * 300000), 8),
+    ]
+    assert sorted(out, key=repr) == sorted(expected, key=repr)
+
+
+def test_no_pages(spark):
+    assert warc.round_trip(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_predicates_are_pushed_and_payloads_kept_whole(spark, tmp_path):
+    pages = spark.createDataFrame(page_rows(), "page_id long, url string, html string")
+    warc.archive(pages, str(tmp_path / "w"))
+    df = spark.read.format("warc").load(str(tmp_path / "w"))
+    some = df.where("record_type = 'response' AND target_uri LIKE 'http://b%'")
+    assert {bytes(r.payload) for r in some.collect()} == {b"short", b""}
+    assert {r.target_uri for r in some.collect()} == {"http://b/3%0D%0AX: y", "http://b/4", "http://b/6"}
+    heads = spark.read.format("warc").option("payload", "false").load(str(tmp_path / "w"))
+    assert heads.count() == 10 and heads.where("payload IS NOT NULL").count() == 0
+    assert df.where("record_type = 'revisit'").selectExpr("max(payload_bytes)").first()[0] == 300000
+    assert not [p for p in (tmp_path / "w").iterdir() if p.name.endswith(".unfinished")]
+
+
+def test_reader_decides_only_what_it_knows():
+    reader = warc.WarcReader({"path": "x"})
+    filters = [EqualTo(("record_type",), "response"), GreaterThan(("payload_bytes",), 3), StringStartsWith(("content_type",), "text")]
+    assert list(reader.pushFilters(filters)) == filters[1:]
+    assert reader.keep({"record_type": "response"}) and not reader.keep({"record_type": None})
+
+
+class Counted(io.BytesIO):
+    got = 0
+
+    def read(self, n=-1):
+        out = super().read(n)
+        self.got += len(out)
+        return out
+
+
+def records():
+    return [warc.record_bytes({"record_type": "response", "record_id": f"urn:page:{k}", "payload": bytes([k]) * 100000 + bytes(range(256)) * 300 * k, "target_uri": f"u{k}"}, "2000-01-01T00:00:00Z") for k in range(4)]
+
+
+def test_other_writers_files_read_the_same():
+    own = b"".join(map(warc.member, records()))
+    other = b"".join(map(gzip.compress, records()))
+    plain = b"".join(records())
+    assert gzip.decompress(own) == plain
+    one, two, three = (list(warc.read_records(io.BytesIO(x), c)) for x, c in ((own, True), (other, True), (plain, False)))
+    assert one == two == three and [r["payload_bytes"] for r in one] == [100000 + 76800 * k for k in range(4)]
+
+
+def test_unwanted_payloads_are_not_read():
+    f = Counted(b"".join(warc.member(r) for r in records()))
+    rows = list(warc.read_records(f, True, lambda c: c["target_uri"] == "u0"))
+    assert [r["target_uri"] for r in rows] == ["u0"] and rows[0]["payload_bytes"] == 100000
+
+
+@pytest.mark.parametrize("cut", [10, 30, 200])
+def test_a_cut_archive_is_an_error(cut):
+    data = warc.member(records()[1])
+    with pytest.raises((EOFError, ValueError)):
+        list(warc.read_records(io.BytesIO(data[: len(data) - cut]), True))
+
+
+def test_files_end_at_their_limit(spark, tmp_path):
+    warc.register(spark)
+    pages = spark.createDataFrame([(k, f"u{k}", hashlib.sha256(bytes([k])).hexdigest() * 50) for k in range(20)], "page_id long, url string, html string").coalesce(1)
+    warc.with_revisits(pages).write.format("warc").mode("append").option("max_file_bytes", 5000).save(str(tmp_path / "w"))
+    assert len(list((tmp_path / "w").glob("*.warc.gz"))) > 1
+    assert spark.read.format("warc").load(str(tmp_path / "w")).count() == 20
