@@ -198,12 +198,12 @@ def _gzip_records(f, keep, payloads: bool) -> Iterator[dict]:
             if length is not None and have < size:
                 raw = f.read(at + length - f.tell())
                 rest.append(inflate.decompress(raw))
-                if not inflate.eof:
-                    raise EOFError("the archive ends within a record")
             else:
                 while have < size and (piece := pull()):
                     rest.append(piece)
                     have += len(piece)
+            while not inflate.eof:  # the member's checksum
+                pull()
             yield _finish(out, b"".join(rest)[:size])
         elif wanted:
             yield out | {"payload_bytes": None, "payload": None}
