@@ -7,10 +7,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lamella.llm import bpe, exact_dedup, mixing, warc
+from lamella.llm import bpe, exact_dedup, license_scan, mixing, warc
 from lamella.llm.common import table
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents")).drop("spans")
+
+
 #: Where the published tokenizers lie; a parameter of whoever runs the queries.
 TOKENIZERS = os.environ.get("TOKENIZERS", "/opt/tokenizers")
 
@@ -32,6 +36,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_license_scan": op3_license_scan,
     "op5_bpe": op5_bpe,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_mixing": op9_mixing,
