@@ -380,11 +380,13 @@ def with_revisits(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     """
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("target_uri"), F.coalesce(F.col(html_col), F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("payload_digest", F.sha2("payload", 256))
-    narrow = rows.where(F.col("payload_bytes") >= least).select("page_id", F.unhex("payload_digest").alias("d"))
+    # A key that is never null: the join and the numbering of repeated pages then share one shuffle of the payloads.
+    rows = rows.withColumn("page_key", F.coalesce(F.col("page_id").cast("string"), F.lit("null")))
+    narrow = rows.where(F.col("payload_bytes") >= least).select("page_id", "page_key", F.unhex("payload_digest").alias("d"))
     firsts = narrow.groupBy("d").agg(F.min("page_id").alias("first"))
-    ids = narrow.distinct().join(firsts, "d").select(F.col("page_id").alias("p"), F.lower(F.hex("d")).alias("e"), "first", F.lit(True).alias("known"))
-    rows = rows.join(ids, F.col("page_id").eqNullSafe(F.col("p")) & (F.col("payload_digest") == F.col("e")), "left")
-    again = F.row_number().over(Window.partitionBy("page_id", "payload_digest").orderBy("target_uri"))
+    ids = narrow.distinct().join(firsts, "d").select("page_key", F.lower(F.hex("d")).alias("payload_digest"), "first", F.lit(True).alias("known"))
+    rows = rows.join(ids, ["page_key", "payload_digest"], "left")
+    again = F.row_number().over(Window.partitionBy("page_key", "payload_digest").orderBy("target_uri"))
     rows = rows.withColumn("again", again)
     revisit = F.coalesce("known", F.lit(False)) & (~F.col("page_id").eqNullSafe(F.col("first")) | (F.col("again") > 1))
     name = lambda c: F.concat(F.lit("urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("null")))
