@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lamella.llm import bpe, exact_dedup, license_scan, mixing, warc
+from lamella.llm import bpe, exact_dedup, license_scan, mixing, near_dedup, warc
 from lamella.llm.common import table
 
 
@@ -23,6 +23,10 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, percent=80)
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"), keep="largest")
 
@@ -38,6 +42,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_license_scan": op3_license_scan,
     "op5_bpe": op5_bpe,
+    "op6_near_dedup": op6_near_dedup,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_mixing": op9_mixing,
     "op10_warc": op10_warc,
@@ -47,6 +52,24 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 SQL: dict[str, str] = {
+    "op6_near_dedup": rf"""
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+        s AS (
+            SELECT DISTINCT doc_id, unnest(CASE
+                WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda k: array_to_string(w[k:k + 3], ' '))
+                WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s
+            FROM w),
+        n AS (SELECT doc_id, count(s) AS n FROM documents LEFT JOIN s USING (doc_id) GROUP BY doc_id),
+        links AS (
+            SELECT p.doc_id AS a, q.doc_id AS b
+            FROM s AS p JOIN s AS q USING (s) JOIN n AS x ON x.doc_id = p.doc_id JOIN n AS y ON y.doc_id = q.doc_id
+            WHERE p.doc_id <> q.doc_id
+            GROUP BY p.doc_id, q.doc_id, x.n, y.n HAVING 100 * count(*) >= 80 * (x.n + y.n - count(*))),
+        reach AS (
+            SELECT doc_id, doc_id AS root FROM documents
+            UNION SELECT b, root FROM reach JOIN links ON a = reach.doc_id)
+        SELECT doc_id, n AS n_shingles, min(root) AS component_id, doc_id = min(root) AS kept
+        FROM reach JOIN n USING (doc_id) GROUP BY doc_id, n""",
     "op8_exact_dedup": f"""
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                row_number() OVER (PARTITION BY t ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(t) AS text_sha256
