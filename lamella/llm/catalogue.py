@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamella.llm import bpe, exact_dedup, license_scan, mixing, near_dedup, neighbours, warc
+from lamella.llm import bpe, exact_dedup, license_scan, line_dedup, mixing, near_dedup, neighbours, warc
 from lamella.llm.common import table
 
 
@@ -16,6 +16,12 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    kept = line_dedup.deduplicate(docs, report=True)
+    return kept.select("doc_id", "n_lines", "n_equal", "n_near", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
 #: Where the published tokenizers lie; a parameter of whoever runs the queries.
 TOKENIZERS = os.environ.get("TOKENIZERS", "/opt/tokenizers")
 
@@ -46,6 +52,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_license_scan": op3_license_scan,
+    "op4_line_dedup": op4_line_dedup,
     "op5_bpe": op5_bpe,
     "op6_near_dedup": op6_near_dedup,
     "op7_neighbours": op7_neighbours,
@@ -58,6 +65,25 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 SQL: dict[str, str] = {
+    "op4_line_dedup": """
+        WITH split_up AS (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents),
+        pieces AS (SELECT doc_id, unnest(parts) AS raw, unnest(range(len(parts))) AS num FROM split_up),
+        numbered AS (
+            SELECT *, row(doc_id, num) AS pos,
+                   translate(trim(raw, ' ' || chr(9) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM pieces),
+        firsts AS (SELECT t, min(pos) AS pos FROM numbered WHERE length(t) >= 10 GROUP BY t),
+        sized AS (SELECT t, pos, unnest([length(t), length(t) - 1]) AS n FROM firsts),
+        halves AS (SELECT t, pos, unnest(['p' || left(t, n // 2), 's' || right(t, n - n // 2)]) AS h FROM sized),
+        close AS (
+            SELECT DISTINCT x.t FROM halves AS x JOIN halves AS y USING (h)
+            WHERE y.pos < x.pos AND abs(length(x.t) - length(y.t)) <= 1 AND levenshtein(x.t, y.t) <= 1),
+        judged AS (
+            SELECT doc_id, num, raw, coalesce(numbered.pos <> firsts.pos, false) AS again,
+                   coalesce(numbered.pos = firsts.pos, false) AND close.t IS NOT NULL AS almost
+            FROM numbered LEFT JOIN firsts ON numbered.t = firsts.t LEFT JOIN close ON close.t = firsts.t)
+        SELECT doc_id, count(num) AS n_lines, count(*) FILTER (WHERE again) AS n_equal, count(*) FILTER (WHERE almost) AS n_near,
+               sha256(coalesce(string_agg(raw, chr(10) ORDER BY num) FILTER (WHERE NOT again AND NOT almost), '')) AS text_sha256
+        FROM documents LEFT JOIN judged USING (doc_id) GROUP BY doc_id""",
     "op6_near_dedup": rf"""
         WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
         s AS (
