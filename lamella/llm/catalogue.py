@@ -8,10 +8,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamella.llm import bpe, exact_dedup, license_scan, line_dedup, mixing, near_dedup, neighbours, warc
+from lamella.llm import bpe, exact_dedup, license_scan, line_dedup, mixing, near_dedup, neighbours, quality, warc
 from lamella.llm.common import table
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.perplexities(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents")).drop("spans")
 
@@ -51,6 +55,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_quality": op2_quality,
     "op3_license_scan": op3_license_scan,
     "op4_line_dedup": op4_line_dedup,
     "op5_bpe": op5_bpe,
