@@ -8,10 +8,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamella.llm import bpe, exact_dedup, license_scan, line_dedup, mixing, near_dedup, neighbours, quality, warc
+from lamella.llm import bpe, exact_dedup, license_scan, line_dedup, lm_scoring, mixing, near_dedup, neighbours, quality, warc
 from lamella.llm.common import table
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(table(spark, sf_dir, "documents"))
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.perplexities(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -55,6 +59,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_lm_scoring": op1_lm_scoring,
     "op2_quality": op2_quality,
     "op3_license_scan": op3_license_scan,
     "op4_line_dedup": op4_line_dedup,

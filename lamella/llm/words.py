@@ -55,8 +55,8 @@ def word_spans(buffer: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return change[::2], change[1::2]
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The hashes of all words of the texts, one after another, and how many each text has."""
+def word_table(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of all words of the texts, one after another, the hash and the last two bytes; and how many words each text has."""
     lengths = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
     buffer = np.frombuffer(b" ".join(texts).lower() + b" ", np.uint8)
     starts, ends = word_spans(buffer)
@@ -65,8 +65,15 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     sums[0] = 0
     np.cumsum(BYTE_VALUES[buffer] * up[: len(buffer)], out=sums[1:])
     hashes = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    tails = buffer[ends - 1].astype(np.int32) + 256 * np.where(ends - starts > 1, buffer[ends - 2], 0).astype(np.int32)
     bounds = np.searchsorted(starts, np.cumsum(lengths))
-    return hashes, np.diff(bounds, prepend=0)
+    return hashes, tails, np.diff(bounds, prepend=0)
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all words of the texts, one after another, and how many each text has."""
+    hashes, _, counts = word_table(texts)
+    return hashes, counts
 
 
 def blocks(texts: list[bytes]) -> Iterator[list[bytes]]:
