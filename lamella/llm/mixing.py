@@ -69,13 +69,33 @@ def _cut(slots: DataFrame, budget: int, value: Column, bins: int) -> tuple[int,
     return None if row["bin"] is None else (row["bin"], row["through"] - row["tokens"])
 
 
+def repeat(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The rows of ``docs``, each as often as the mix has it; those that it leaves out are gone.
+
+    The mix is decided on narrow rows and meets the texts again by id, source and size, in one shuffle. Rows that are
+    alike in all three share their copies evenly, in the order of their texts.
+    """
+
+    def key(doc_id: Column, source: Column, size: Column) -> Column:
+        """Never null, so that the join and the window below share a shuffle."""
+        return F.concat_ws("/", size.cast("string"), F.coalesce(doc_id.cast("string"), F.lit("-")), F.coalesce(F.concat(F.lit("="), source), F.lit("")))
+
+    decided = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options)
+    decided = decided.groupBy(key(F.col("doc_id"), F.col("source"), F.col("size")).alias("__key")).agg(F.sum("copies").alias("__copies"), F.count(F.lit(1)).alias("__rows"))
+    decided = stored(decided.where("__copies > 0"), "mix-copies")
+    joined = docs.withColumn("__key", key(docs[id_col].cast("long"), docs[source_col], word_count(docs[text_col]))).join(decided, "__key")
+    place = F.row_number().over(Window.partitionBy("__key").orderBy(text_col))
+    joined = joined.withColumn("__own", F.floor(F.col("__copies") / F.col("__rows")) + (place <= F.col("__copies") % F.col("__rows")).cast("long"))
+    return joined.where("__own > 0").withColumn("__turn", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__own")))).select(*docs.columns)
+
+
 def mix(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), max_repeats: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """One row per row of ``docs``: ``doc_id, source, size, source_size, target, copies, taken``.
 
     ``weights`` go to the sources in code point order, null last, repeating. ``copies`` is how often the mix has the
     document and ``taken`` the words of all of them. The order is the one of the MD5 of the id, so reruns agree.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
     rows = rows.withColumn("key", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
     rows = stored(rows.withColumn("bucket", F.substring("key", 1, BUCKET_DIGITS)), "mix-sizes")
 
