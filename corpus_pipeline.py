@@ -1,13 +1,82 @@
-"""The corpus pipeline: stages over ``documents``, each written before the next one reads it."""
+"""The corpus pipeline: stages over ``documents``, each written before the next one reads it.
+
+Documents that the quality classifier rejects go; lines that stand in an earlier document, or almost, are taken out, and
+documents left without any text go; of each group of near-duplicates one document stays; sources are mixed to their target
+weights, which leaves documents out and repeats others; the last stage encodes and decodes what is left.
+
+Defined cases are those of the operators: null texts and ids are carried along, an empty table gives no rows, columns
+beside those of ``documents`` pass through, whatever their names.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from lamella.llm import bpe, line_dedup, mixing, near_dedup, quality
+from lamella.llm.catalogue import TOKENIZERS
+from lamella.llm.common import stored, table
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 2: without the documents whose perplexity exceeds their language's threshold."""
+    return quality.accept(docs, table(spark, sf_dir, "labels"))
+
+
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 4: texts without the lines that an earlier one equals or almost equals; ``n_chars`` follows.
+
+    A document that had text and has only blank lines left goes.
+    """
+    names = {c.lower(): c for c in docs.columns}
+    marked = docs.withColumn("__had", F.length(F.btrim(F.coalesce("text", F.lit("")), F.lit(" \t\r\n"))) > 0)
+    out = line_dedup.deduplicate(marked)
+    out = out.where(~F.col("__had") | (F.length(F.btrim("text", F.lit(" \t\r\n"))) > 0)).drop("__had")
+    if "n_chars" in names:
+        out = out.withColumn(names["n_chars"], F.when(F.col("text").isNotNull(), F.length("text").cast("long")).otherwise(F.col(names["n_chars"])))
+    return out.select(*docs.columns)
+
+
+def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 6: one document of each group of near-duplicates, the one of the smallest id; five-word shingles, 0.8.
+
+    Rows that repeat the id of a document that stays are one document, and one of them stays.
+    """
+    groups = near_dedup.near_duplicates(docs, shingle=5, percent=80)
+    gone = stored(groups.where("NOT kept").select(F.col("doc_id").alias("__gone")).distinct(), "near-copies")
+    out = docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    nulls = out.where("doc_id IS NULL")
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.length("text").desc_nulls_last(), "text"))
+    return out.where("doc_id IS NOT NULL").withColumn("__first", first).where("__first = 1").drop("__first").unionByName(nulls)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 9: each document as often as the mix has it."""
+    return mixing.repeat(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 5: the digests of each document's ids and of its text decoded again."""
+    return bpe.digests(docs, f"{TOKENIZERS}/byte_bpe_50k.json")
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality", keep_quality),
+    ("line_dedup", drop_lines),
+    ("near_dedup", keep_distinct),
+    ("mixing", mix_sources),
+    ("bpe", encode),
+]
 
-STAGES: list = []
+#: The quality classifier's model has no form in SQL.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to ``documents``."""
-    raise NotImplementedError
+    """The stages applied to ``documents``, one after another, each stored in the shared folder."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
