@@ -32,8 +32,8 @@ def tables(folder, spark):
         else:
             text = "\n".join(line() for _ in range(chance.randint(1, 6)))
         docs.append((k, text, ["en", "de"][k % 2], f"s{k % 4}", len(text)))
-    long = " ".join(chance.choice(["the", "of", "aha", "shand"]) + str(k) for k in range(80))
-    docs += [(200, long, "en", "s1", len(long)), (201, long.replace("5 ", "6 ", 1), "en", "s2", len(long)), (202, None, None, None, None), (203, "", "en", None, 0), (None, "the of a ertion", None, "s0", 15)]
+    long = " ".join(line() for _ in range(20))
+    docs += [(200, long, "en", "s1", len(long)), (201, f"{long} the ertion", "en", "s2", len(long) + 11), (202, None, None, None, None), (203, "", "en", None, 0), (None, "the of a ertion", None, "s0", 15)]
     labels = [(k, int(k % 9 != 8), 0) for k in range(0, 120, 2)]
     spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
@@ -55,7 +55,7 @@ def accepted_by_hand(docs, labels):
             own[lang].append(score[k])
     every = limit([x for v in own.values() for x in v])
     limits = {lang: limit(v) for lang, v in own.items() if len(v) >= quality.FEW}
-    assert all(abs(s - limits.get(docs[k][2], every)) > 0.01 for k, s in score.items())
+    assert all(abs(s - limits.get(docs[k][2], every)) > 0.003 for k, s in score.items())
     return [d for k, d in enumerate(docs) if k not in score or score[k] <= limits.get(d[2], every)]
 
 
