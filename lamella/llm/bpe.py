@@ -27,6 +27,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lamella.llm.common import bounded_batches
+
 #: Words that a worker keeps, and the longest that it keeps.
 CACHED_WORDS, CACHED_LENGTH = 1 << 18, 48
 
@@ -188,4 +190,4 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
                 decoded.append(sha(one.decode(ids).encode()).hexdigest())
             yield pa.record_batch([batch.column(0), pa.array(lengths, pa.int64()), pa.array(encoded, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, DIGEST)
+    return bounded_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, DIGEST)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import string
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +24,19 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
 
 
+#: Rows of a batch that crosses to Python. Documents are long, and executors hold several batches at a time.
+BATCH_ROWS = 1000
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """``df``, after its session's batches for Python are set to BATCH_ROWS at most; a smaller setting stays."""
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(_ROWS)) <= BATCH_ROWS:
+        conf.set(_ROWS, BATCH_ROWS)
+    return df
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
@@ -37,9 +52,25 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+_scratch: list[str] = []
+
+
 def scratch(spark: SparkSession, label: str) -> str:
-    """A new path in the shared folder, removed with the session's other checkpoints by whoever owns the folder."""
-    return f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    """A new path in the shared folder. What is written there stays as long as a frame may read it: see ``temporaries``."""
+    _scratch.append(f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}")
+    return _scratch[-1]
+
+
+@contextlib.contextmanager
+def temporaries(spark: SparkSession) -> Iterator[None]:
+    """Removes the scratch paths made inside at its end, when the result has been written elsewhere."""
+    before = len(_scratch)
+    try:
+        yield
+    finally:
+        for path in _scratch[before:]:
+            remove(spark, path)
+        del _scratch[before:]
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:

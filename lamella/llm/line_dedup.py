@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamella.llm.common import stored
+from lamella.llm.common import bounded_batches, stored
 from lamella.llm.near_dedup import groups
 from lamella.llm.words import mix, powers
 
@@ -236,7 +236,7 @@ def bloom(keys: DataFrame) -> tuple[np.ndarray, int]:
 def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc, line, near``: the lines that go, numbered from 0, and whether for a neighbour rather than an equal line."""
     spark = docs.sparkSession
-    texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
+    texts = bounded_batches(docs).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     occurrences = stored(texts.mapInArrow(places, "doc long, line int, h1 long, h2 long"), "lines")
     first = stored(occurrences.groupBy("h1", "h2").agg(F.min(F.struct("doc", "line")).alias("at")).select("h1", "h2", "at.doc", "at.line"), "first-lines")
 

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lamella.llm import words
-from lamella.llm.common import stored
+from lamella.llm.common import bounded_batches, stored
 from lamella.llm.components import components
 
 BANDS, ROWS = 40, 5
@@ -204,6 +204,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     Documents are linked where 100 * common shingles >= ``percent`` * all shingles of both; the component is named by its
     smallest id, whose document is kept.
     """
+    docs = bounded_batches(docs)
     sigs = stored(signatures(docs, shingle, id_col, text_col), "signatures")
     content = ["fp_a", "fp_b", "n"]
     # A copy's signature is the one of its class.
