@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from lamella.llm import bpe, line_dedup, mixing, near_dedup, quality
 from lamella.llm.catalogue import TOKENIZERS
-from lamella.llm.common import stored, table
+from lamella.llm.common import scratch, stored, table, temporaries
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -75,8 +75,14 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to ``documents``, one after another, each stored in the shared folder."""
+    """The stages applied to ``documents``, one after another, each stored in the shared folder.
+
+    What a stage has stored for itself goes once its result is written.
+    """
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        target = scratch(spark, name)
+        with temporaries(spark):
+            stage(spark, docs, sf_dir).write.parquet(target)
+        docs = spark.read.parquet(target)
     return STAGES[-1][1](spark, docs, sf_dir)
