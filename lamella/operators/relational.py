@@ -34,8 +34,9 @@ def group_aggregate(df: DataFrame, keys: str | Sequence[str], **aggregates: Colu
 def with_group_id(df: DataFrame, key: str, order_by: str, name: str = "group_id") -> DataFrame:
     """Puts a dense id first: 0 for the key that comes first in ``order_by``, 1 for the next new one, and so on.
 
-    A null key has a null id. Only the distinct keys are numbered: their first positions are sorted over all partitions
-    and each gets its partition's start plus its place there, so neither rows nor keys meet in one task.
+    A null key has a null id. Only the distinct keys are numbered. Where the order is an integer, their first positions
+    are counted by ranges, and a key's id is its range's start plus its place there, so neither rows nor keys meet in one
+    task; for other orders the keys are sorted in one.
     """
     first = df.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("__key")).agg(F.min(order_by).alias("__first"))
     ids = _numbered(first, "__first", name)
