@@ -32,9 +32,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lamella.llm import words
-from lamella.llm.common import stored
+from lamella.llm.common import bounded_batches, stored
 
-WORD_CLASSES, CLASS_WORDS, RARE_CLASSES = 24, 64, 24
+WORD_CLASSES, CLASS_WORDS, RARE_CLASSES = 16, 64, 16
 FEATURES = 3
 #: Rows of the two tables of weights, tokens of a gradient step, the step's size, and rounds of averaging.
 ROWS, BATCH, STEP, ROUNDS = 1 << 15, 4096, 0.5, 1
@@ -42,6 +42,10 @@ ROWS, BATCH, STEP, ROUNDS = 1 << 15, 4096, 0.5, 1
 ROW_BLOCK = 512
 #: Words whose counts are broadcast, at most; and what is added to every count.
 FREQUENT, ADDED = 1 << 19, 0.1
+#: Tokens that a task counts before it hands the counts on.
+COUNTED = 1 << 21
+#: The largest sum of weights and bias.
+LARGEST = 60.0
 
 U = np.uint64
 END, START = U(0x1B873593CC9E2D51), U(0xE6546B64F9D3A7C1)
@@ -76,12 +80,21 @@ def count_tokens(training: DataFrame) -> DataFrame:
     """``h, rare, c``: every token of the column ``text`` with its count; counted in the partitions first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def counted() -> pa.RecordBatch:
+            h, rare = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            some, first, c = np.unique(h, return_index=True, return_counts=True)
+            return pa.record_batch([_signed(some), pa.array(rare[first]), pa.array(c.astype(np.int64))], ["h", "rare", "c"])
+
         for batch in batches:
-            parts = [tokens(block)[:2] for block in words.blocks(_bytes(batch.column(0)))]
-            if parts:
-                h, rare = (np.concatenate(x) for x in zip(*parts, strict=True))
-                some, first, c = np.unique(h, return_index=True, return_counts=True)
-                yield pa.record_batch([_signed(some), pa.array(rare[first]), pa.array(c.astype(np.int64))], ["h", "rare", "c"])
+            for block in words.blocks(_bytes(batch.column(0))):
+                held.append(tokens(block)[:2])
+                if sum(len(h) for h, _ in held) >= COUNTED:
+                    yield counted()
+        if held:
+            yield counted()
 
     return training.select("text").mapInArrow(run, "h long, rare int, c long").groupBy("h").agg(F.min("rare").alias("rare"), F.sum("c").alias("c"))
 
@@ -184,9 +197,9 @@ class Weights:
         for r in rows[1:]:
             p += table[r]
         p += bias
-        p -= p.max(axis=1, keepdims=True)
+        np.minimum(p, LARGEST, out=p)  # biases are 0 at most, so no more is needed against overflow
         np.exp(p, out=p)
-        p /= p.sum(axis=1, keepdims=True)
+        p /= (p @ np.ones(p.shape[1], np.float32))[:, None]
         return p
 
     def batches(self, block: list[bytes]) -> Iterator[tuple]:
@@ -226,16 +239,29 @@ class Trainer:
 
     def _step(self, k: int, rows: np.ndarray, wrong: np.ndarray) -> None:
         """The gradient of each row, summed over the batch's tokens that have it."""
+        n = len(wrong)
+        # Rows and tokens in one number sort faster than an order does.
+        keys = (rows.astype(np.int64) * n + np.arange(n)).ravel()
+        keys.sort()
+        flat, token = np.divmod(keys, n)
+        first = np.flatnonzero(np.concatenate(([True], flat[1:] != flat[:-1])))
+        times = np.diff(first, append=len(flat))
+        alone = times == 1
+        self._update(k, flat[first[alone]], wrong[token[first[alone]]], 1)
+        if not alone.all():
+            # Sums run along memory where a row is a class.
+            several = np.repeat(~alone, times)
+            starts = np.cumsum(times[~alone]) - times[~alone]
+            sums = np.add.reduceat(np.take(np.ascontiguousarray(wrong.T), token[several], axis=1), starts, axis=1)
+            self._update(k, flat[first[~alone]], sums.T, times[~alone])
+
+    def _update(self, k: int, touched: np.ndarray, gradient: np.ndarray, times) -> None:
+        """A step along the gradients of different rows."""
         table = self.weights.tables[k]
-        flat = rows.ravel()
-        order = np.argsort(flat, kind="stable")
-        sorted_rows = flat[order]
-        first = np.flatnonzero(np.concatenate(([True], sorted_rows[1:] != sorted_rows[:-1])))
-        gradient = np.add.reduceat(wrong[order % wrong.shape[0]], first, axis=0)
-        touched = sorted_rows[first]
-        self.squares[k][touched] += np.einsum("ij,ij->i", gradient, gradient)
-        table[touched] -= gradient * (STEP / np.sqrt(self.squares[k][touched]))[:, None]
-        self.updates[k][touched] += np.diff(first, append=len(flat))
+        squares = self.squares[k][touched] + np.einsum("ij,ij->i", gradient, gradient)
+        self.squares[k][touched] = squares
+        table[touched] -= gradient * (STEP / np.sqrt(squares))[:, None]
+        self.updates[k][touched] += times
 
     def train(self, block: list[bytes]) -> None:
         w = self.weights
@@ -306,7 +332,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
     Both scores are log10 probabilities of the whole text; the model and the counts come from the rows not held out.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).cast("binary").alias("text"))
+    rows = bounded_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).cast("binary").alias("text"))
     training = rows.where("NOT held_out")
     counts = stored(count_tokens(training), "counts")
     vocabulary = Vocabulary(counts)
@@ -332,18 +358,19 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                 classes, places = v.classes(h, rare)
                 own = np.log10(np.where(known, c + ADDED, 1.0))  # the others' come with the join
                 p = model.log10(block) + np.where(places < 0, own - within[rare], 0.0)
-                others: list[list[dict]] = [[] for _ in block]
-                doc = np.repeat(np.arange(len(block)), n)
+                # The words whose counts come with the join, each document's together.
                 unknown = np.flatnonzero(~known)
-                if len(unknown):
-                    pairs, times = np.unique(np.stack((doc[unknown].astype(np.uint64), h[unknown]), axis=1), axis=0, return_counts=True)
-                    for d, x, k in zip(pairs[:, 0].tolist(), np.ascontiguousarray(pairs[:, 1]).view(np.int64).tolist(), times.tolist(), strict=True):
-                        others[d].append({"h": x, "n": k})
+                doc = np.repeat(np.arange(len(block)), n)[unknown]
+                order = np.lexsort((h[unknown], doc))
+                doc, other = doc[order], h[unknown][order]
+                new = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (other[1:] != other[:-1])))) if len(doc) else np.empty(0, np.int64)
+                pairs = pa.StructArray.from_arrays([_signed(other[new]), pa.array(np.diff(new, append=len(doc)).astype(np.int32))], ["h", "n"])
+                others = pa.ListArray.from_arrays(pa.array(np.searchsorted(doc[new], np.arange(len(block) + 1)).astype(np.int32)), pairs)
                 size = len(block)
                 yield pa.record_batch(
                     [
                         pa.array(np.arange(row, row + size)), batch.column(0).slice(at, size), batch.column(1).slice(at, size), pa.array(n), pa.array(np.add.reduceat(known.astype(np.int64), first)),
-                        pa.array(np.add.reduceat(own, first) - n * v.log_total), pa.array(np.add.reduceat(p, first)), pa.array(others, pa.list_(pa.struct([("h", pa.int64()), ("n", pa.int32())]))),
+                        pa.array(np.add.reduceat(own, first) - n * v.log_total), pa.array(np.add.reduceat(p, first)), others,
                     ],
                     ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "model", "rare"],
                 )
