@@ -17,10 +17,11 @@ from lamella.llm.common import stored
 def _stars(links: DataFrame) -> DataFrame:
     """Both steps once; links are ``(a, b)`` with a > b."""
     both = links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(links.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    # Stored, so that both sides of the join are dealt out anew and Spark may split a hot node's side.
+    least = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
     large = both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a > b").distinct()
     large = stored(large, "stars")
-    root = large.groupBy("a").agg(F.min("b").alias("m"))
+    root = stored(large.groupBy("a").agg(F.min("b").alias("m")), "least")
     small = large.join(root, "a")
     return small.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a > b").union(root.select("a", F.col("m").alias("b"))).distinct()
 
