@@ -13,7 +13,7 @@ documents, starting from the average so far. The model has a fixed size too, whi
 
 The counts of words, on which the base score rests, grow with the corpus and are not broadcast: those of the ``FREQUENT``
 most frequent words at most are, and the other words of the documents are joined with the table of counts. Words are
-told apart by 64-bit hashes.
+told apart by 60 bits of their hash and their rare class.
 
 Defined cases: a null or blank text is its end token alone; a null id counts as the empty text where ids decide what is
 held out; repeated rows are trained on and scored each; without training documents every word is unknown; an empty table
@@ -25,7 +25,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -34,10 +33,11 @@ from pyspark.sql import functions as F
 from lamella.llm import words
 from lamella.llm.common import bounded_batches, stored
 
+#: The last is a power of two.
 WORD_CLASSES, CLASS_WORDS, RARE_CLASSES = 16, 64, 16
 FEATURES = 3
 #: Rows of the two tables of weights, tokens of a gradient step, the step's size, and rounds of averaging.
-ROWS, BATCH, STEP, ROUNDS = 1 << 15, 4096, 0.5, 1
+ROWS, BATCH, STEP, ROUNDS = 1 << 15, 4096, 1.0, 1
 #: Rows of a block in the averaging.
 ROW_BLOCK = 512
 #: Words whose counts are broadcast, at most; and what is added to every count.
@@ -51,17 +51,24 @@ U = np.uint64
 END, START = U(0x1B873593CC9E2D51), U(0xE6546B64F9D3A7C1)
 
 
-def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes and rare classes of all tokens, each text's words and its end; and how many each text has."""
+def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all tokens, each text's words and its end, and how many each text has.
+
+    The lowest bits of a hash are the token's rare class.
+    """
     hashes, tails, counts = words.word_table(texts)
     ends = np.cumsum(counts + 1) - 1
     h = np.empty(len(hashes) + len(texts), np.uint64)
-    rare = np.zeros(len(h), np.int32)
     inner = np.ones(len(h), bool)
     inner[ends] = False
-    h[inner], h[ends] = hashes, END
-    rare[inner] = ((tails.astype(np.int64) * 40503) & 0xFFFF) * RARE_CLASSES >> 16
-    return h, rare, counts + 1
+    rare = ((tails.astype(np.uint32) * np.uint32(40503)) & np.uint32(0xFFFF)) * np.uint32(RARE_CLASSES) >> np.uint32(16)
+    h[inner] = (hashes & ~U(RARE_CLASSES - 1)) | rare.astype(np.uint64)
+    h[ends] = END
+    return h, counts + 1
+
+
+def rare_class(h: np.ndarray) -> np.ndarray:
+    return (h & U(RARE_CLASSES - 1)).astype(np.int64)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -77,26 +84,25 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 def count_tokens(training: DataFrame) -> DataFrame:
-    """``h, rare, c``: every token of the column ``text`` with its count; counted in the partitions first."""
+    """``h, c``: every token of the column ``text`` with its count; counted in the partitions first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[np.ndarray] = []
 
         def counted() -> pa.RecordBatch:
-            h, rare = (np.concatenate(x) for x in zip(*held, strict=True))
+            some, c = np.unique(np.concatenate(held), return_counts=True)
             held.clear()
-            some, first, c = np.unique(h, return_index=True, return_counts=True)
-            return pa.record_batch([_signed(some), pa.array(rare[first]), pa.array(c.astype(np.int64))], ["h", "rare", "c"])
+            return pa.record_batch([_signed(some), pa.array(c.astype(np.int64))], ["h", "c"])
 
         for batch in batches:
             for block in words.blocks(_bytes(batch.column(0))):
-                held.append(tokens(block)[:2])
-                if sum(len(h) for h, _ in held) >= COUNTED:
+                held.append(tokens(block)[0])
+                if sum(map(len, held)) >= COUNTED:
                     yield counted()
         if held:
             yield counted()
 
-    return training.select("text").mapInArrow(run, "h long, rare int, c long").groupBy("h").agg(F.min("rare").alias("rare"), F.sum("c").alias("c"))
+    return training.select("text").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
 
 class Vocabulary:
@@ -109,7 +115,7 @@ class Vocabulary:
         top = counts.orderBy(F.desc("c"), "h").limit(WORD_CLASSES * CLASS_WORDS).select("h", "c").toPandas()
         h, c = top["h"].to_numpy().astype(np.int64).view(np.uint64), top["c"].to_numpy().astype(np.float64)
         order = np.argsort(h)
-        self.words, self.rank = h[order], order.astype(np.int32)
+        self.words, self.rank, self.ranked = h[order], order.astype(np.int32), c
         # All counts above one that leaves FREQUENT words at most.
         level = F.floor(F.log2("c") * 64)
         levels = counts.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("level")).collect()
@@ -125,13 +131,11 @@ class Vocabulary:
         self.frequent, first = np.unique(fh, return_index=True)
         self.counts = np.concatenate((c, frequent["c"].to_numpy().astype(np.float64)))[first]
         # Mass and words of each rare class, without those that have a rank.
-        rare = counts.groupBy("rare").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).toPandas()
+        rare = counts.groupBy(F.col("h").bitwiseAND(F.lit(RARE_CLASSES - 1)).alias("rare")).agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).toPandas()
         mass, types = np.zeros(RARE_CLASSES), np.zeros(RARE_CLASSES)
         mass[rare["rare"].to_numpy(int)], types[rare["rare"].to_numpy(int)] = rare["n"].to_numpy(float), rare["v"].to_numpy(float)
-        ranked = counts.join(F.broadcast(counts.sparkSession.createDataFrame(pd.DataFrame({"h": top["h"].astype("int64")}), "h long")), "h").select("rare", "c").toPandas() if len(top) else top
-        if len(top):
-            np.subtract.at(mass, ranked["rare"].to_numpy(int), ranked["c"].to_numpy(float))
-            np.subtract.at(types, ranked["rare"].to_numpy(int), 1.0)
+        np.subtract.at(mass, rare_class(h), c)
+        np.subtract.at(types, rare_class(h), 1.0)
         self.rare_total = mass + ADDED * (types + 1)
         # Biases: the classes' and their words' shares.
         padded = np.zeros(WORD_CLASSES * CLASS_WORDS)
@@ -148,20 +152,26 @@ class Vocabulary:
     def log_total(self) -> float:
         return float(np.log10(self.n + ADDED * (self.v + 1)))
 
-    def classes(self, h: np.ndarray, rare: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def ranks(self, h: np.ndarray) -> np.ndarray:
+        """The rank of each token among those with a class of their own, or -1."""
+        if not len(self.words):
+            return np.full(len(h), -1, np.int32)
+        at = np.minimum(self.words.searchsorted(h), len(self.words) - 1)
+        return np.where(self.words[at] == h, self.rank[at], -1)
+
+    def classes(self, h: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Class of each token and place in it; -1 for a rare word."""
-        rank = np.full(len(h), -1, np.int32)
-        if len(self.words):
-            at = np.minimum(self.words.searchsorted(h), len(self.words) - 1)
-            rank = np.where(self.words[at] == h, self.rank[at], -1)
-        return np.where(rank < 0, self.word_classes + rare, rank // self.class_words), np.where(rank < 0, -1, rank % self.class_words)
+        return np.where(rank < 0, self.word_classes + rare_class(h), rank // self.class_words), np.where(rank < 0, -1, rank % self.class_words)
 
-    def count_of(self, h: np.ndarray) -> np.ndarray:
+    def count_of(self, h: np.ndarray, rank: np.ndarray) -> np.ndarray:
         """Counts of the frequent words, 0 for others."""
-        if not len(self.frequent):
-            return np.zeros(len(h))
-        at = np.minimum(self.frequent.searchsorted(h), len(self.frequent) - 1)
-        return np.where(self.frequent[at] == h, self.counts[at], 0.0)
+        out = np.zeros(len(h))
+        if len(self.words):
+            rare = np.flatnonzero(rank < 0)
+            out[rank >= 0] = self.ranked[rank[rank >= 0]]
+            at = np.minimum(self.frequent.searchsorted(h[rare]), len(self.frequent) - 1)
+            out[rare] = np.where(self.frequent[at] == h[rare], self.counts[at], 0.0)
+        return out
 
 
 def features(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -202,23 +212,22 @@ class Weights:
         p /= (p @ np.ones(p.shape[1], np.float32))[:, None]
         return p
 
-    def batches(self, block: list[bytes]) -> Iterator[tuple]:
-        """Batches of a block's tokens: hashes, classes, places, rows of the first table, and hashes of the features."""
-        h, rare, counts = tokens(block)
-        classes, places = self.vocabulary.classes(h, rare)
+    def batches(self, h: np.ndarray, counts: np.ndarray, rank: np.ndarray) -> Iterator[tuple]:
+        """Batches of a block's tokens: their classes, places, and hashes of the features."""
+        classes, places = self.vocabulary.classes(h, rank)
         hashed = features(h, counts)
         for a in range(0, len(h), BATCH):
             b = slice(a, a + BATCH)
-            yield b, classes[b], places[b], hashed[:, b]
+            yield classes[b], places[b], hashed[:, b]
 
     def within(self, hashed: np.ndarray, classes: np.ndarray) -> np.ndarray:
         """Rows of the second table: of a feature and the class."""
         return rows_of(words.mix(hashed ^ (classes.astype(np.uint64) + U(1)) * words.FACTORS[44]))
 
-    def log10(self, block: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def log10(self, h: np.ndarray, counts: np.ndarray, rank: np.ndarray) -> np.ndarray:
         """Of each token of a block the log10 of its class, times its own within the class where it isn't rare."""
         out = []
-        for _, classes, places, hashed in self.batches(block):
+        for classes, places, hashed in self.batches(h, counts, rank):
             n = np.arange(len(classes))
             p = self._softmax(self.tables[0], self.vocabulary.class_bias, rows_of(hashed))[n, classes].astype(np.float64)
             known = np.flatnonzero(places >= 0)
@@ -265,7 +274,8 @@ class Trainer:
 
     def train(self, block: list[bytes]) -> None:
         w = self.weights
-        for _, classes, places, hashed in w.batches(block):
+        h, counts = tokens(block)
+        for classes, places, hashed in w.batches(h, counts, w.vocabulary.ranks(h)):
             rows = rows_of(hashed)
             p = w._softmax(w.tables[0], w.vocabulary.class_bias, rows)
             p[np.arange(len(classes)), classes] -= 1
@@ -351,13 +361,13 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         for batch in batches:
             at = 0
             for block in words.blocks(_bytes(batch.column(2))):
-                h, rare, n = tokens(block)
+                h, n = tokens(block)
                 first = np.cumsum(n) - n
-                c = v.count_of(h)
+                rank = v.ranks(h)
+                c = v.count_of(h, rank)
                 known = c > 0
-                classes, places = v.classes(h, rare)
                 own = np.log10(np.where(known, c + ADDED, 1.0))  # the others' come with the join
-                p = model.log10(block) + np.where(places < 0, own - within[rare], 0.0)
+                p = model.log10(h, n, rank) + np.where(rank < 0, own - within[rare_class(h)], 0.0)
                 # The words whose counts come with the join, each document's together.
                 unknown = np.flatnonzero(~known)
                 doc = np.repeat(np.arange(len(block)), n)[unknown]

@@ -87,19 +87,19 @@ def test_probabilities_of_what_may_follow_add_up(spark):
     for history in ("", "the the0 ", "of "):
         total = 0.0
         for t in known:
-            block = [(history + t).encode()]
-            h, rare, _ = lm_scoring.tokens(block)
-            _, places = v.classes(h, rare)
-            p = 10 ** w.log10(block)[-2]
-            total += p * ((v.count_of(h)[-2] + 0.1) / v.rare_total[rare[-2]] if places[-2] < 0 else 1)
-        end = 10 ** w.log10([history.encode()])[-1]
+            h, n = lm_scoring.tokens([(history + t).encode()])
+            rank = v.ranks(h)
+            p = 10 ** w.log10(h, n, rank)[-2]
+            total += p * ((v.count_of(h, rank)[-2] + 0.1) / v.rare_total[lm_scoring.rare_class(h)[-2]] if rank[-2] < 0 else 1)
+        h, n = lm_scoring.tokens([history.encode()])
+        end = 10 ** w.log10(h, n, v.ranks(h))[-1]
         assert 0.9 < total + end <= 1.0001
 
 
 def test_tokens_and_features():
-    h, rare, n = lm_scoring.tokens([b"a B", b"", b"b"])
+    h, n = lm_scoring.tokens([b"a B", b"", b"b"])
     assert n.tolist() == [3, 1, 2] and h[2] == h[3] == h[5] == lm_scoring.END and h[1] == h[4]
-    assert ((rare >= 0) & (rare < lm_scoring.RARE_CLASSES)).all()
+    assert lm_scoring.RARE_CLASSES & (lm_scoring.RARE_CLASSES - 1) == 0 and (lm_scoring.rare_class(h) < lm_scoring.RARE_CLASSES).all()
     f = lm_scoring.features(h, n)
     assert (f[:, 0] == f[:, 3]).all() and (f[:, 0] == f[:, 4]).all()  # the starts of texts are alike
     assert f[2, 1] == f[2, 0] and f[0, 1] != f[0, 0]
