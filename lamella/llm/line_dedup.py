@@ -88,7 +88,7 @@ class Block:
         at = np.arange(low, high)
         left = (self.sums[s + at] - self.sums[s]) * self.down[s]
         right = (self.sums[s + n] - self.sums[s + at + 1]) * self.down[s + at + 1] * self.up[at]
-        return mix(left + right + U(n - 1) * POSITION)
+        return mix(left + right + np.full(1, n - 1, np.uint64) * POSITION)
 
     def whole(self) -> np.ndarray:
         """The hashes of the lines themselves, comparable with those of deletions."""
