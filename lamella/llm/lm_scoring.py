@@ -34,7 +34,7 @@ from lamella.llm import words
 from lamella.llm.common import bounded_batches, stored
 
 #: The last is a power of two.
-WORD_CLASSES, CLASS_WORDS, RARE_CLASSES = 16, 64, 16
+WORD_CLASSES, CLASS_WORDS, RARE_CLASSES = 24, 64, 32
 FEATURES = 3
 #: Rows of the two tables of weights, tokens of a gradient step, the step's size, and rounds of averaging.
 ROWS, BATCH, STEP, ROUNDS = 1 << 15, 4096, 1.0, 1

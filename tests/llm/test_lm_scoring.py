@@ -104,3 +104,13 @@ def test_tokens_and_features():
     assert (f[:, 0] == f[:, 3]).all() and (f[:, 0] == f[:, 4]).all()  # the starts of texts are alike
     assert f[2, 1] == f[2, 0] and f[0, 1] != f[0, 0]
     assert len(np.unique(words.mix(np.arange(1000, dtype=np.uint64)))) == 1000
+
+
+def test_words_with_a_probability_of_their_own(spark):
+    """1536 words are modelled, and there are 24 rare classes at least: a faster model is no smaller one."""
+    assert lm_scoring.WORD_CLASSES * lm_scoring.CLASS_WORDS >= 1536 and lm_scoring.RARE_CLASSES >= 24
+    rows = [(k, " ".join(f"w{i}" for i in range(1600 - k))) for k in range(100)]
+    v = lm_scoring.Vocabulary(lm_scoring.count_tokens(spark.createDataFrame(rows, "doc_id long, text string").selectExpr("CAST(text AS BINARY) AS text")))
+    h, n = lm_scoring.tokens([" ".join(f"w{i}" for i in range(1500)).encode()])
+    classes, places = v.classes(h, v.ranks(h))
+    assert (places >= 0).all() and (classes < lm_scoring.WORD_CLASSES).all()
