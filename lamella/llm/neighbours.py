@@ -6,8 +6,8 @@ A query's window on a line is centred on the query's own place. All windows star
 (virtual rehashing: the index stays as it is, and only what a window gains is counted). A vector that has been in the
 windows of ``COLLISIONS`` of the lines or more is a candidate, and its distance is computed from the original vectors in double
 precision. The search ends when the k-th best distance is so small against the window's radius that a nearer vector would
-have collided often enough by now, or when ``SHARE`` of the block has been verified: the second is what bounds the work
-on data without near neighbours. Both are set for a recall of 0.95 or more on vectors without structure.
+have collided often enough by now, however many vectors that takes; on data without near neighbours it may be all of the
+block. This is set for a recall of 0.95 or more on vectors without structure.
 
 Vectors are dealt into blocks by their id, and queries into blocks of ``QUERIES``; a task searches one block for one
 block of queries and hands on k rows a query, so no group grows with the data. The number of blocks comes from two
@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 
 #: Lines at least (vectors of more components get one each), the first radius as a share of a line's middle half, and the windows' growth.
 PROJECTIONS, FIRST, GROWTH = 64, 0.3, 1.25
-#: The share of the lines that a candidate must have met; and the share of a block that is verified at most (and k more).
-COLLISIONS, SHARE = 0.5, 0.2
+#: The share of the lines that a candidate must have met.
+COLLISIONS = 0.5
 #: Ends the search: this many standard deviations of a k-th best neighbour's place on a line, as the radius. A nearer
 #: vector is within two of them on 95 % of the lines, twice what COLLISIONS asks for.
 ENOUGH = 2.0
@@ -65,7 +65,6 @@ class Index:
         met, enough = np.zeros(n, np.uint16), COLLISIONS * len(self.lines)
         done = np.zeros(n, bool)
         done[self.ids == query_id] = True
-        quota, checked = int(SHARE * n) + k, 0
         best_ids, best = np.empty(0, np.int64), np.empty(0)
         left = np.array([np.searchsorted(p, c) for p, c in zip(self.places, centre, strict=True)])
         right = left.copy()
@@ -84,12 +83,11 @@ class Index:
             new = np.flatnonzero((met >= enough) & ~done)
             if len(new):
                 done[new] = True
-                checked += len(new)
                 distance = np.sqrt(((self.vectors[new] - query) ** 2).sum(axis=1))
                 best_ids, best = np.concatenate((best_ids, self.ids[new])), np.concatenate((best, distance))
                 first = np.lexsort((best_ids, best))[:k]
                 best_ids, best = best_ids[first], best[first]
-            if len(best) >= k and (checked >= quota or best[-1] * ENOUGH <= radius * np.sqrt(len(query))):
+            if len(best) >= k and best[-1] * ENOUGH <= radius * np.sqrt(len(query)):
                 break
             if radius >= everything:
                 break

@@ -65,3 +65,17 @@ def test_one_vector_that_is_very_common(spark):
     rows = [(k, common if k % 3 == 0 else [float(x) for x in chance.standard_normal(16).astype(np.float32)]) for k in range(900)]
     out, true = found(neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 100 == 0)), by_hand(rows, 10)
     assert [x for x in out if x[0] % 3 == 0] == [x for x in true if x[0] % 3 == 0] and recall(out, true) >= 0.95
+
+
+def test_copies_of_one_vector_do_not_end_a_search():
+    """A third of the block is one vector beside a cluster; each query of the cluster still finds its neighbours."""
+    chance = np.random.default_rng(5)
+    vectors = chance.standard_normal((6000, 64))
+    centre = chance.standard_normal(64)
+    vectors[:200] = centre + 0.5 * chance.standard_normal((200, 64))
+    vectors[4000:] = centre + 0.3 * chance.standard_normal(64)
+    index = neighbours.Index(np.arange(6000), vectors)
+    for q in range(40):
+        distance = index.search(q, vectors[q], 10)[1]
+        true = np.sort(np.delete(np.linalg.norm(vectors - vectors[q], axis=1), q))[:10]
+        assert (distance <= true[-1] + 1e-9).mean() >= 0.9, q
