@@ -14,14 +14,14 @@ from dataclasses import dataclass
 
 # Labels, keywords and name patterns of published licenses.
 NAMES = r"""
-mit | licen,mit | (?:mit|expat) (?:open source )?licen[sc]e
-mit-0 | mit,attribution | mit(?:-0| no attribution)(?: licen[sc]e)?
+mit | licen,mit/expat | (?:mit|expat) (?:open source )?licen[sc]e
+mit-0 | mit,-0/attribution | mit(?:-0| no attribution)(?: licen[sc]e)?
 x11 | x11 | x11 licen[sc]e
 apache-1.0 | apache,1.0 | apache (?:software )?licen[sc]e,?(?: version| v\.?)? ?1\.0
 apache-1.1 | apache,1.1 | apache (?:software )?licen[sc]e,?(?: version| v\.?)? ?1\.1
 apache-2.0 | apache,2.0 | apache(?: software)?(?: licen[sc]e)?,?(?: version| v\.?|-)? ?2\.0(?: licen[sc]e)?
 apache | apache,licen | apache (?:software )?licen[sc]e
-bsd-1-clause | bsd,1 | (?:1|one)[- ]clause bsd(?: licen[sc]e)?|bsd[- ]1[- ]clause(?: licen[sc]e)?
+bsd-1-clause | bsd,clause | (?:1|one)[- ]clause bsd(?: licen[sc]e)?|bsd[- ]1[- ]clause(?: licen[sc]e)?
 bsd-2-clause | bsd | (?:2|two)[- ]clause bsd(?: licen[sc]e)?|bsd[- ]2[- ]clause(?: licen[sc]e)?|(?:simplified|freebsd) bsd licen[sc]e
 bsd-3-clause | bsd | (?:3|three)[- ]clause bsd(?: licen[sc]e)?|bsd[- ]3[- ]clause(?: licen[sc]e)?|(?:new|modified|revised) bsd licen[sc]e
 bsd-4-clause | bsd | (?:4|four)[- ]clause bsd(?: licen[sc]e)?|bsd[- ]4[- ]clause(?: licen[sc]e)?|original bsd licen[sc]e
@@ -31,7 +31,7 @@ gpl-1.0 | gpl/general public,1 | (?:gnu )?(?:gpl|general public licen[sc]e),?(?:
 gpl-2.0 | gpl/general public,2 | (?:gnu )?(?:gpl|general public licen[sc]e),?(?: version| v\.?|-)? ?v?2(?:\.0)?\b
 gpl-3.0 | gpl/general public,3 | (?:gnu )?(?:gpl|general public licen[sc]e),?(?: version| v\.?|-)? ?v?3(?:\.0)?\b
 gpl | general public | (?:gnu )?general public licen[sc]e
-lgpl-2.0 | lesser,2.0 | (?:gnu )?(?:library|lesser) general public licen[sc]e,?(?: version| v\.?)? ?2\.0
+lgpl-2.0 | lesser/library,2.0 | (?:gnu )?(?:library|lesser) general public licen[sc]e,?(?: version| v\.?)? ?2\.0
 lgpl-2.1 | lgpl/lesser,2.1 | (?:gnu )?(?:lgpl|lesser general public licen[sc]e),?(?: version| v\.?|-)? ?v?2\.1
 lgpl-3.0 | lgpl/lesser,3 | (?:gnu )?(?:lgpl|lesser general public licen[sc]e),?(?: version| v\.?|-)? ?v?3(?:\.0)?\b
 lgpl | general public | (?:gnu )?(?:lesser|library) general public licen[sc]e
@@ -51,16 +51,16 @@ epl | eclipse | eclipse public licen[sc]e
 edl-1.0 | eclipse,distribution | eclipse distribution licen[sc]e
 cpl-1.0 | common public | common public licen[sc]e
 ipl-1.0 | ibm public | ibm public licen[sc]e
-cddl-1.0 | cddl | (?:common development and distribution licen[sc]e|cddl)(?: \(cddl\))?,?(?: version| v\.?|-)? ?1\.0
-cddl-1.1 | cddl | (?:common development and distribution licen[sc]e|cddl)(?: \(cddl\))?,?(?: version| v\.?|-)? ?1\.1
+cddl-1.0 | cddl/common development | (?:common development and distribution licen[sc]e|cddl)(?: \(cddl\))?,?(?: version| v\.?|-)? ?1\.0
+cddl-1.1 | cddl/common development | (?:common development and distribution licen[sc]e|cddl)(?: \(cddl\))?,?(?: version| v\.?|-)? ?1\.1
 cddl | common development | common development and distribution licen[sc]e
 isc | isc | isc licen[sc]e
 zlib | zlib | zlib(?:/libpng)? licen[sc]e
 libpng | libpng | libpng licen[sc]e
 bsl-1.0 | boost | boost software licen[sc]e
-unlicense | unlicense | (?:the )?unlicen[sc]e
+unlicense | unlicen | (?:the )?unlicen[sc]e
 wtfpl | what the f | do what the f\w+ you want to public licen[sc]e
-cc0-1.0 | cc0 | (?:creative commons )?(?:cc0|cc zero)(?: 1\.0)?(?: universal)?
+cc0-1.0 | cc0/cc zero | (?:creative commons )?(?:cc0|cc zero)(?: 1\.0)?(?: universal)?
 cc-by-1.0 | cc/creative commons,1.0 | (?:creative commons |cc[- ])(?:attribution|by)[- ]1\.0
 cc-by-2.0 | cc/creative commons,2.0 | (?:creative commons |cc[- ])(?:attribution|by)[- ]2\.0
 cc-by-2.5 | cc/creative commons,2.5 | (?:creative commons |cc[- ])(?:attribution|by)[- ]2\.5
@@ -148,7 +148,7 @@ gpl-3.0 | either version 3 | either version 3 of the license, or \(at your optio
 gpl | gnu.org/licenses | see <?https?://www\.gnu\.org/licenses/?>?
 lgpl | lesser general public | it under the terms of the gnu lesser general public license as published by
 agpl | affero general public | it under the terms of the gnu affero general public license as published by
-mpl-2.0 | mozilla.org/mpl | this source code form is subject to the terms of the mozilla public license
+mpl-2.0 | mozilla public license | this source code form is subject to the terms of the mozilla public license
 epl-2.0 | eclipse.org/legal | https?://www\.eclipse\.org/legal/epl-2\.0
 epl-1.0 | eclipse.org/legal | https?://www\.eclipse\.org/legal/epl-v10\.html
 bsl-1.0 | boost.org/license | https?://www\.boost\.org/license_1_0\.txt
