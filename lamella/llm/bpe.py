@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamella.llm.common import bounded_batches
+from lamella.llm.common import named, pieces
 
 #: Words that a worker keeps, and the longest that it keeps.
 CACHED_WORDS, CACHED_LENGTH = 1 << 18, 48
@@ -181,7 +181,7 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = codec(raw.value)
         digits, sha = one.digits_of.__getitem__, hashlib.sha256
-        for batch in batches:
+        for batch in pieces(batches):
             lengths, encoded, decoded = [], [], []
             for text in batch.column(1):
                 ids = one.encode(text.as_py() or "")
@@ -190,4 +190,4 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
                 decoded.append(sha(one.decode(ids).encode()).hexdigest())
             yield pa.record_batch([batch.column(0), pa.array(lengths, pa.int64()), pa.array(encoded, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return bounded_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, DIGEST)
+    return docs.select(named(id_col).cast("long").alias("doc_id"), named(text_col).alias("text")).mapInArrow(run, DIGEST)

@@ -76,24 +76,28 @@ LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghij
 
 SQL: dict[str, str] = {
     "op4_line_dedup": """
-        WITH split_up AS (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents),
-        pieces AS (SELECT doc_id, unnest(parts) AS raw, unnest(range(len(parts))) AS num FROM split_up),
+        WITH keyed AS (SELECT doc_id, text, coalesce(('0x' || substr(md5(text), 1, 15))::BIGINT, -1) AS key FROM documents),
+        split_up AS (SELECT DISTINCT doc_id, key, string_split(text, chr(10)) AS parts FROM keyed),
+        pieces AS (SELECT doc_id, key, unnest(parts) AS raw, unnest(range(len(parts))) AS num FROM split_up),
         numbered AS (
-            SELECT *, row(doc_id, num) AS pos,
+            SELECT *, row(doc_id IS NOT NULL, coalesce(doc_id, 0), key, num) AS pos,
                    translate(trim(raw, ' ' || chr(9) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM pieces),
-        firsts AS (SELECT t, min(pos) AS pos FROM numbered WHERE length(t) >= 10 GROUP BY t),
-        sized AS (SELECT t, pos, unnest([length(t), length(t) - 1]) AS n FROM firsts),
+        firsts AS (SELECT t, min(pos) AS pos FROM numbered WHERE length(t) >= 1 GROUP BY t),
+        sized AS (SELECT t, pos, unnest([length(t), length(t) - 1]) AS n FROM firsts WHERE length(t) >= 10),
         halves AS (SELECT t, pos, unnest(['p' || left(t, n // 2), 's' || right(t, n - n // 2)]) AS h FROM sized),
         close AS (
             SELECT DISTINCT x.t FROM halves AS x JOIN halves AS y USING (h)
             WHERE y.pos < x.pos AND abs(length(x.t) - length(y.t)) <= 1 AND levenshtein(x.t, y.t) <= 1),
         judged AS (
-            SELECT doc_id, num, raw, coalesce(numbered.pos <> firsts.pos, false) AS again,
+            SELECT doc_id, key, num, raw, coalesce(numbered.pos <> firsts.pos, false) AS again,
                    coalesce(numbered.pos = firsts.pos, false) AND close.t IS NOT NULL AS almost
-            FROM numbered LEFT JOIN firsts ON numbered.t = firsts.t LEFT JOIN close ON close.t = firsts.t)
-        SELECT doc_id, count(num) AS n_lines, count(*) FILTER (WHERE again) AS n_equal, count(*) FILTER (WHERE almost) AS n_near,
-               sha256(coalesce(string_agg(raw, chr(10) ORDER BY num) FILTER (WHERE NOT again AND NOT almost), '')) AS text_sha256
-        FROM documents LEFT JOIN judged USING (doc_id) GROUP BY doc_id""",
+            FROM numbered LEFT JOIN firsts ON numbered.t = firsts.t LEFT JOIN close ON close.t = firsts.t),
+        found AS (
+            SELECT doc_id, key, count(num) AS n_lines, count(*) FILTER (WHERE again) AS n_equal, count(*) FILTER (WHERE almost) AS n_near,
+                   string_agg(raw, chr(10) ORDER BY num) FILTER (WHERE NOT again AND NOT almost) AS kept
+            FROM judged GROUP BY doc_id, key)
+        SELECT keyed.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_equal, 0) AS n_equal, coalesce(n_near, 0) AS n_near, sha256(coalesce(kept, '')) AS text_sha256
+        FROM keyed LEFT JOIN found ON keyed.doc_id IS NOT DISTINCT FROM found.doc_id AND keyed.key = found.key""",
     "op6_near_dedup": rf"""
         WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
         s AS (

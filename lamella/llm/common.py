@@ -7,6 +7,7 @@ import string
 import uuid
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,17 +25,35 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
 
 
-#: Rows of a batch that crosses to Python. Documents are long, and executors hold several batches at a time.
+#: Rows of a batch that a Python function works on at once. Documents are long, and executors run several functions.
 BATCH_ROWS = 1000
-_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-def bounded_batches(df: DataFrame) -> DataFrame:
-    """``df``, after its session's batches for Python are set to BATCH_ROWS at most; a smaller setting stays."""
-    conf = df.sparkSession.conf
-    if not 0 < int(conf.get(_ROWS)) <= BATCH_ROWS:
-        conf.set(_ROWS, BATCH_ROWS)
-    return df
+def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches that Spark hands over, in slices of BATCH_ROWS rows at most."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, BATCH_ROWS):
+            yield batch.slice(at, BATCH_ROWS)
+
+
+def named(name: str) -> Column:
+    """The column of exactly that name, with dots or whatever in it."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def packed(docs: DataFrame, **beside: Column) -> DataFrame:
+    """The caller's rows in one column ``row`` with what an operator needs beside it, so that no name can clash."""
+    return docs.select(F.struct(*map(named, docs.columns)).alias("row"), *(c.alias(name) for name, c in beside.items()))
+
+
+def unpacked(columns: list[str], **instead: Column) -> list[Column]:
+    """The caller's columns out of ``row``, some replaced, in their order and under their names."""
+    return [instead[c].alias(c) if c in instead else F.col("row").getField(c).alias(c) for c in columns]
+
+
+def text_key(text: Column) -> Column:
+    """60 bits of a text's MD5, -1 for null: together with the id what tells documents apart whose ids are the same."""
+    return F.coalesce(F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long"), F.lit(-1).cast("long"))
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamella.llm.common import bounded_batches
+from lamella.llm.common import named, pieces
 from lamella.llm.license_rules import Rule, rules
 
 #: Words of a phrase, and its label.
@@ -119,9 +119,9 @@ def scan(docs: DataFrame, signature_rules: list[Rule] | None = None, phrases: Ma
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = Scanner(chosen, phrases)
-        for batch in batches:
+        for batch in pieces(batches):
             rows = [one.scan(text.as_py() or "") for text in batch.column(1)]
             columns = list(zip(*rows, strict=True)) if rows else [[]] * (len(FIELDS) - 1)
             yield pa.record_batch([batch.column(0), *(pa.array(c, t) for c, (_, t) in zip(columns, FIELDS[1:], strict=True))], [n for n, _ in FIELDS])
 
-    return bounded_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, SCHEMA)
+    return docs.select(named(id_col).cast("long").alias("doc_id"), named(text_col).alias("text")).mapInArrow(run, SCHEMA)

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lamella.llm import words
-from lamella.llm.common import bounded_batches, stored
+from lamella.llm.common import named, pieces, stored
 from lamella.llm.components import components
 
 BANDS, ROWS = 40, 5
@@ -79,7 +79,7 @@ def signatures(docs: DataFrame, size: int, id_col: str = "doc_id", text_col: str
     """``doc_id``, the size of the set, 128 bits of its content, and its signature (null for an empty set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             at = 0
             for block in words.blocks(_as_bytes(batch.column(1))):
                 sets = distinct_sets(block, size)
@@ -97,7 +97,7 @@ def signatures(docs: DataFrame, size: int, id_col: str = "doc_id", text_col: str
                 )
                 at += len(block)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, SIGNATURE)
+    return docs.select(named(id_col).cast("long").alias("doc_id"), named(text_col).cast("binary").alias("text")).mapInArrow(run, SIGNATURE)
 
 
 def band_keys(classes: DataFrame) -> DataFrame:
@@ -204,7 +204,6 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     Documents are linked where 100 * common shingles >= ``percent`` * all shingles of both; the component is named by its
     smallest id, whose document is kept.
     """
-    docs = bounded_batches(docs)
     sigs = stored(signatures(docs, shingle, id_col, text_col), "signatures")
     content = ["fp_a", "fp_b", "n"]
     # A copy's signature is the one of its class.
@@ -230,14 +229,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     hopeful = stored(hopeful, "candidates")
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             at = 0
             for block in words.blocks(_as_bytes(batch.column(1))):
                 yield pa.record_batch([batch.column(0).slice(at, len(block)), pa.array([s.tobytes() for s in distinct_sets(block, shingle)], pa.binary())], ["id", "shingles"])
                 at += len(block)
 
     wanted = hopeful.select("id").distinct()
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text")).join(wanted, "id", "left_semi")
+    texts = docs.select(named(id_col).cast("long").alias("id"), named(text_col).cast("binary").alias("text")).join(wanted, "id", "left_semi")
     sets = stored(texts.mapInArrow(whole, "id long, shingles binary"), "shingles")
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,7 +254,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     links = met.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(confirm, "a long, b long")
     found = stored(components(links), "components")
 
-    named = classes.select(*content, "id").join(found.select(F.col("node").alias("id"), "component"), "id", "left").select(*content, F.coalesce("component", "id").alias("component"))
-    out = sigs.select("doc_id", *content).join(named, content, "left")
+    labelled = classes.select(*content, "id").join(found.select(F.col("node").alias("id"), "component"), "id", "left").select(*content, F.coalesce("component", "id").alias("component"))
+    out = sigs.select("doc_id", *content).join(labelled, content, "left")
     component = F.when(F.col("doc_id").isNull(), None).when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

@@ -1,5 +1,8 @@
 import pathlib
 
+import pyarrow as pa
+from pyspark.sql import functions as F
+
 from lamella.llm import common
 
 
@@ -20,19 +23,18 @@ def test_a_stored_table_has_no_lineage_and_keeps_its_columns(spark):
     assert again.dtypes == df.dtypes and "Exchange" not in plan and "parquet" in plan.lower()
 
 
-def test_smaller_batches_of_the_session_stay(spark):
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    try:
-        for given, expected in (("10000", common.BATCH_ROWS), ("0", common.BATCH_ROWS), ("7", 7)):
-            spark.conf.set(key, given)
-            common.bounded_batches(spark.range(1))
-            assert int(spark.conf.get(key)) == expected
-    finally:
-        spark.conf.set(key, before)
+def test_pieces_are_all_rows_in_order():
+    batches = [pa.record_batch([pa.array(range(n))], ["x"]) for n in (0, 1, 2500)]
+    got = list(common.pieces(iter(batches)))
+    assert max(b.num_rows for b in got) <= common.BATCH_ROWS
+    assert [x for b in got for x in b.column(0).to_pylist()] == [0, *range(2500)]
 
 
-def test_only_ascii_is_lowered(spark):
-    from pyspark.sql import functions as F
+def test_packed_rows_come_back_whatever_their_names(spark):
+    df = spark.range(2).selectExpr("id AS `a.b`", "id AS row", "'x' AS `k``y`", "id AS text_key")
+    again = common.packed(df, text_key=common.named("a.b") + 5).select(*common.unpacked(df.columns, row=F.col("text_key")))
+    assert again.columns == df.columns and sorted(map(tuple, again.collect())) == [(0, 5, "x", 0), (1, 6, "x", 1)]
 
+
+def test_only_ascii_is_lowered(spark):
     assert spark.createDataFrame([("AbZ ÄÉ İ",)], "t string").select(common.ascii_lower(F.col("t"))).first()[0] == "abz ÄÉ İ"

@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import numpy as np
@@ -20,32 +21,33 @@ def lower(t):
     return "".join(c.lower() if c.isascii() else c for c in t)
 
 
-def by_hand(rows):
-    """(text, lines, equal, near) of each document, by comparing every line with all before it."""
-    before, out = {}, []
-    for i, text in sorted(rows, key=lambda r: (r[0] is not None, r[0])):
+def by_hand(rows, bound=1, least=1, near_least=10):
+    """(id, text, lines, equal, near) of each row, by comparing every line with all before it; equal rows are one document."""
+    before, out = {}, {}
+    key = lambda t: -1 if t is None else int(hashlib.md5(t.encode()).hexdigest()[:15], 16)
+    for i, text in sorted(set(rows), key=lambda r: (r[0] is not None, r[0] or 0, key(r[1]))):
         if text is None:
-            out.append((i, None, 0, 0, 0))
+            out[i, text] = (i, None, 0, 0, 0)
             continue
         kept, equal, near = [], 0, 0
         for line in text.split("\n"):
             t = lower(line.strip(" \t\r"))
-            if len(t) < line_dedup.MIN_CHARS:
+            if len(t) < least:
                 kept.append(line)
                 continue
             if t in before:
                 equal += 1
-            elif any(abs(len(t) - len(o)) <= 1 and edits(t, o) <= 1 for o in before):
+            elif len(t) >= near_least and any(len(o) >= near_least and abs(len(t) - len(o)) <= bound and edits(t, o) <= bound for o in before):
                 near += 1
             else:
                 kept.append(line)
             before[t] = 1
-        out.append((i, "\n".join(kept), len(text.split("\n")), equal, near))
-    return sorted(out, key=repr)
+        out[i, text] = (i, "\n".join(kept), len(text.split("\n")), equal, near)
+    return sorted((out[r] for r in rows), key=repr)
 
 
-def found(docs):
-    return sorted((tuple(r) for r in line_dedup.deduplicate(docs, report=True).select("doc_id", "text", "n_lines", "n_equal", "n_near").collect()), key=repr)
+def found(docs, **bounds):
+    return sorted((tuple(r) for r in line_dedup.deduplicate(docs, report=True, **bounds).select("doc_id", "text", "n_lines", "n_equal", "n_near").collect()), key=repr)
 
 
 def corpus(chance, n):
@@ -70,6 +72,36 @@ def test_as_comparing_everything(spark, seed):
     assert found(docs) == by_hand(rows)
 
 
+@pytest.mark.parametrize("seed", [4, 5])
+def test_two_edits_as_comparing_everything(spark, seed):
+    rows = corpus(random.Random(seed), 60)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert found(docs, edits=2, min_chars=4, near_chars=9) == by_hand(rows, 2, 4, 9)
+    with pytest.raises(ValueError):
+        line_dedup.dropped_lines(docs, edits=3)
+
+
+def test_rows_that_share_an_id_lose_their_own_lines_only(spark):
+    chance = random.Random(7)
+    rows = [(chance.choice([None, None, 1, 2, 3]), text) for _, text in corpus(chance, 60)]
+    rows += [(None, "alpha line number one\nunique second line of A"), (None, "beta something else\nalpha line number one"), (7, "first text here\nshared"), (7, "second text line here\nshared"), (1, None), (None, None), (None, "")]
+    rows += rows[:5] + rows[-3:]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert found(docs) == by_hand(rows)
+    texts = "\n".join(t or "" for _, t, *_ in found(docs))
+    assert "unique second line of A" in texts and "second text line here" in texts
+
+
+def test_no_line_that_is_not_blank_stands_twice(spark):
+    rows = [(k, t) for k, t in enumerate(["a\n\nb\n", "b\n \nc", "C\nab", "abc\nabd"])]
+    assert [t for _, t, *_ in found(spark.createDataFrame(rows, "doc_id long, text string"))] == ["a\n\nb\n", " \nc", "ab", "abc\nabd"]
+
+
+def test_of_a_chain_the_first_stays(spark):
+    rows = [(1, "a" * 12), (2, "a" * 11 + "b"), (3, "a" * 10 + "bb")]
+    assert [t for _, t, *_ in found(spark.createDataFrame(rows, "doc_id long, text string"))] == ["a" * 12, "", ""]
+
+
 def test_cases(spark):
     long = "word " * 3000
     rows = [(1, None), (2, ""), (3, "\n\n"), (4, "a line of text\nA LINE OF TEXT \nshort\nshort"), (5, long + "x"), (6, long + "y"), (7, "a line of texts\nanother line here"), (None, "another line herE")]
@@ -98,8 +130,8 @@ def test_variants_meet_exactly_for_one_edit():
         meets = (len(a) == len(b) and bool((cut[0] == cut[1]).any())) or whole[1] in cut[0] or whole[0] in cut[1]
         assert meets == (edits(a, b) <= 1) and n
         if edits(a, b) <= 1:
-            parts = np.stack(block.parts())
-            assert set(parts[:, 0]) & set(parts[:, 1])
+            parts = block.parts()[0]
+            assert set(parts[0]) & set(parts[1])
 
 
 def test_parts_are_no_more_than_half():
