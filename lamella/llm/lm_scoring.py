@@ -1,28 +1,33 @@
-"""Language-model scoring: a hashed maximum-entropy model with a class-factored softmax.
-
-A token's probability given its history is that of its class times its own within the class. The most frequent
-``WORD_CLASSES * CLASS_WORDS`` words are dealt into classes by rank; all others fall into ``RARE_CLASSES`` by their last
-two bytes, and within these the words keep to their counts. Features of the history are the word before, the two words
-before, and the one before the last alone (a skip); each is hashed to a row of weights over the classes, and together
-with a class to a row over the class's words. Biases are the logarithms of the counts.
-
-Training goes once over all training documents: every task takes gradient steps over its own documents in small sparse
-batches, and the weights of the tasks are averaged row by row, weighted by how often a task has updated the row. What a
-task hands on has a fixed size and is added up in a shuffle by blocks of rows, ``ROUNDS`` times, each over its share of the
-documents, starting from the average so far. The model has a fixed size too, which is what lets it be broadcast.
-
-The counts of words, on which the base score rests, grow with the corpus and are not broadcast: those of the ``FREQUENT``
+"""Language-model scoring: a hashed maximum-entropy model with a class-factored softmax, sharded by history.
+
+A token's probability given its history is that of its class, times those of its subclasses down to the word. Words are
+ranked by count and dealt into the classes of ``Settings.bands``: a class of a band of depth d holds ``branch ** d`` words, in d
+steps of a softmax over ``branch`` each, so frequent words are reached in two steps and rare ones in four. The words with
+a rank are those whose counts are broadcast, ``frequent`` at most; all others fall into ``RARE_CLASSES`` by their last two
+bytes, and within these the words keep to their counts. Features of the history are the word before, the two words
+before, and the word before with the one third from the end (a skip); each is hashed, together with the node of the tree that is
+decided, to a row of weights over its choices. Biases are the logarithms of the counts.
+
+All features hold the word before. So the weights are dealt out by that word: a task has all tokens of the corpus that
+follow its words, takes gradient steps over those in training in small sparse batches, and then scores all of them. Each weight has one
+owner; weights are neither averaged, broadcast nor collected, and there are as many shards as ``shard_tokens`` asks for, each with
+its own tables of ``rows`` rows: the model grows with the corpus. A word before that is very common is dealt out further,
+by the word before it and, beyond that, by the document. Tokens are packed by shard in the task that reads the text.
+
+The counts of words, on which the base score rests, grow with the corpus and are not broadcast: those of the ``frequent``
 most frequent words at most are, and the other words of the documents are joined with the table of counts. Words are
-told apart by 60 bits of their hash and their rare class.
+told apart by 59 bits of their hash and their rare class; of n different words some two are taken for one with a
+probability of n ** 2 / 2 ** 65.
 
 Defined cases: a null or blank text is its end token alone; a null id counts as the empty text where ids decide what is
-held out; repeated rows are trained on and scored each; without training documents every word is unknown; an empty table
-gives no rows; other columns are ignored.
+held out; repeated rows are trained on and scored each, and share their scores; without training documents every word is
+unknown; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -31,24 +36,47 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lamella.llm import words
-from lamella.llm.common import stored
-
-#: The last is a power of two.
-WORD_CLASSES, CLASS_WORDS, RARE_CLASSES = 24, 64, 32
-FEATURES = 3
-#: Rows of the two tables of weights, tokens of a gradient step, the step's size, and rounds of averaging.
-ROWS, BATCH, STEP, ROUNDS = 1 << 15, 4096, 1.0, 1
-#: Rows of a block in the averaging.
-ROW_BLOCK = 512
-#: Words whose counts are broadcast, at most; and what is added to every count.
-FREQUENT, ADDED = 1 << 19, 0.1
+from lamella.llm.common import named, pieces, stored, text_key
+
+@dataclass(frozen=True)
+class Settings:
+    """The sizes of the model and of its training."""
+
+    #: Choices of a softmax below the classes; classes and depth of each band, frequent words first.
+    branch: int = 32
+    bands: tuple[tuple[int, int], ...] = ((8, 1), (8, 2), (16, 3))
+    #: Rows of a shard's two tables of weights: classes, and all below.
+    rows: tuple[int, int] = (1 << 16, 1 << 18)
+    #: Tokens of a gradient step, the step's size, and passes over a shard's training tokens.
+    batch: int = 4096
+    step: float = 1.0
+    passes: int = 1
+    #: Training tokens of a shard, about.
+    shard_tokens: int = 1 << 21
+    #: Words whose counts are broadcast, at most.
+    frequent: int = 1 << 19
+
+    @property
+    def capacity(self) -> int:
+        """Words that the bands hold."""
+        return sum(classes * self.branch**depth for classes, depth in self.bands)
+
+
+#: Classes of words without a rank, a power of two; features of a history; what is added to every count.
+RARE_CLASSES, FEATURES, ADDED = 32, 3, 0.1
+#: Tokens that are packed, and decoded, at once.
+PACKED, DECODED = 1 << 21, 1 << 16
+#: Pieces that a common word is dealt into by the word before, before documents are told apart.
+BY_WORD = 4
 #: Tokens that a task counts before it hands the counts on.
 COUNTED = 1 << 21
 #: The largest sum of weights and bias.
 LARGEST = 60.0
 
 U = np.uint64
-END, START = U(0x1B873593CC9E2D51), U(0xE6546B64F9D3A7C1)
+END = U(0x1B873593CC9E2D51)
+#: Ids of words without a rank begin here, and end with their rare class; the id of what is before a text.
+UNRANKED, START = 1 << 20, (1 << 21) - 1
 
 
 def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -94,7 +122,7 @@ def count_tokens(training: DataFrame) -> DataFrame:
             held.clear()
             return pa.record_batch([_signed(some), pa.array(c.astype(np.int64))], ["h", "c"])
 
-        for batch in batches:
+        for batch in pieces(batches):
             for block in words.blocks(_bytes(batch.column(0))):
                 held.append(tokens(block)[0])
                 if sum(map(len, held)) >= COUNTED:
@@ -106,103 +134,139 @@ def count_tokens(training: DataFrame) -> DataFrame:
 
 
 class Vocabulary:
-    """The classes' words, the frequent words' counts, and the constants of the probabilities; of bounded size."""
+    """The ranked words and their counts, the tree of classes with its biases, and the constants of the base; of bounded size."""
 
-    def __init__(self, counts: DataFrame):
-        self.word_classes, self.class_words = WORD_CLASSES, CLASS_WORDS
+    def __init__(self, counts: DataFrame, settings: Settings = Settings()):
+        self.settings = settings
         total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
         self.n, self.v = total["n"], total["v"]
-        top = counts.orderBy(F.desc("c"), "h").limit(WORD_CLASSES * CLASS_WORDS).select("h", "c").toPandas()
-        h, c = top["h"].to_numpy().astype(np.int64).view(np.uint64), top["c"].to_numpy().astype(np.float64)
-        order = np.argsort(h)
-        self.words, self.rank, self.ranked = h[order], order.astype(np.int32), c
-        # All counts above one that leaves FREQUENT words at most.
+        texts = counts.where(F.col("h") == int(END)).first()
+        self.texts = texts["c"] if texts else 0
+        # All counts above one that leaves ``frequent`` words at most.
         level = F.floor(F.log2("c") * 64)
         levels = counts.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("level")).collect()
         many, least = 0, None
         for row in levels:
             many += row["n"]
-            if many > FREQUENT:
+            if many > settings.frequent:
                 break
             least = row["level"]
         frequent = counts.where(level >= least if least is not None else F.lit(False)).select("h", "c").toPandas()
-        # Words with a class of their own are always among them.
-        fh = np.concatenate((h, frequent["h"].to_numpy().astype(np.int64).view(np.uint64)))
-        self.frequent, first = np.unique(fh, return_index=True)
-        self.counts = np.concatenate((c, frequent["c"].to_numpy().astype(np.float64)))[first]
+        h, c = frequent["h"].to_numpy().astype(np.int64).view(np.uint64), frequent["c"].to_numpy().astype(np.float64)
+        order = np.lexsort((h, -c))[: settings.capacity]
+        h, self.counts = h[order], c[order]
+        order = np.argsort(h)
+        self.hashes, self.rank = h[order], order.astype(np.int32)
         # Mass and words of each rare class, without those that have a rank.
         rare = counts.groupBy(F.col("h").bitwiseAND(F.lit(RARE_CLASSES - 1)).alias("rare")).agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).toPandas()
         mass, types = np.zeros(RARE_CLASSES), np.zeros(RARE_CLASSES)
         mass[rare["rare"].to_numpy(int)], types[rare["rare"].to_numpy(int)] = rare["n"].to_numpy(float), rare["v"].to_numpy(float)
-        np.subtract.at(mass, rare_class(h), c)
+        np.subtract.at(mass, rare_class(h), self.counts)
         np.subtract.at(types, rare_class(h), 1.0)
         self.rare_total = mass + ADDED * (types + 1)
-        # Biases: the classes' and their words' shares.
-        padded = np.zeros(WORD_CLASSES * CLASS_WORDS)
-        padded[: len(c)] = c
-        grid = padded.reshape(WORD_CLASSES, CLASS_WORDS)
-        share = np.concatenate((grid.sum(axis=1), self.rare_total))
-        empty = np.concatenate((grid.sum(axis=1) == 0, np.zeros(RARE_CLASSES, bool)))
-        with np.errstate(divide="ignore"):
-            self.class_bias = np.where(empty, -1e9, np.log(share)).astype(np.float32)
-            self.class_bias -= self.class_bias.max()
-            self.word_bias = np.where(grid > 0, np.log(grid) - np.log(np.maximum(grid.max(axis=1, keepdims=True), 1)), -1e9).astype(np.float32)
+        self._grow()
+
+    def _grow(self) -> None:
+        """The biases of the classes and of all nodes below, and where the nodes of each band and depth begin."""
+        branch, bands = self.settings.branch, self.settings.bands
+        sizes = [classes * branch**depth for classes, depth in bands]
+        padded = np.zeros(sum(sizes))
+        padded[: len(self.counts)] = self.counts
+        masses, inner, self.first_node, nodes = [], [], [], 0
+        for (classes, depth), band in zip(bands, np.split(padded, np.cumsum(sizes)[:-1]), strict=True):
+            masses.append(band.reshape(classes, -1).sum(axis=1))
+            self.first_node.append([])
+            for d in range(depth):
+                inner.append(band.reshape(classes * branch**d, branch, -1).sum(axis=2))
+                self.first_node[-1].append(nodes)
+                nodes += len(inner[-1])
+        self.bias = [_log_shares(np.concatenate((*masses, self.rare_total))[None])[0], _log_shares(np.concatenate(inner))]
+        self.ends = np.cumsum(sizes)
+        self.first_class = np.cumsum([0, *(classes for classes, _ in bands)])
 
     @property
     def log_total(self) -> float:
         return float(np.log10(self.n + ADDED * (self.v + 1)))
 
-    def ranks(self, h: np.ndarray) -> np.ndarray:
-        """The rank of each token among those with a class of their own, or -1."""
-        if not len(self.words):
-            return np.full(len(h), -1, np.int32)
-        at = np.minimum(self.words.searchsorted(h), len(self.words) - 1)
-        return np.where(self.words[at] == h, self.rank[at], -1)
-
-    def classes(self, h: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Class of each token and place in it; -1 for a rare word."""
-        return np.where(rank < 0, self.word_classes + rare_class(h), rank // self.class_words), np.where(rank < 0, -1, rank % self.class_words)
-
-    def count_of(self, h: np.ndarray, rank: np.ndarray) -> np.ndarray:
-        """Counts of the frequent words, 0 for others."""
-        out = np.zeros(len(h))
-        if len(self.words):
-            rare = np.flatnonzero(rank < 0)
-            out[rank >= 0] = self.ranked[rank[rank >= 0]]
-            at = np.minimum(self.frequent.searchsorted(h[rare]), len(self.frequent) - 1)
-            out[rare] = np.where(self.frequent[at] == h[rare], self.counts[at], 0.0)
+    def ids(self, h: np.ndarray) -> np.ndarray:
+        """The rank of each token, or for those without one an id from UNRANKED up that ends with the rare class."""
+        other = UNRANKED + ((h >> U(44)) & U((1 << 19) - 1)).astype(np.int64) // RARE_CLASSES * RARE_CLASSES + rare_class(h)
+        if not len(self.hashes):
+            return other
+        at = np.minimum(self.hashes.searchsorted(h), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == h, self.rank[at], other)
+
+    def count_of(self, ids: np.ndarray) -> np.ndarray:
+        """Counts of the ranked words, 0 for others."""
+        out = np.zeros(len(ids))
+        ranked = ids < UNRANKED
+        out[ranked] = self.counts[ids[ranked]]
         return out
 
-
-def features(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    def paths(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The class of each token; and of all steps below, which token, which node, and which of its choices."""
+        branch = self.settings.branch
+        band = np.searchsorted(self.ends, ids, "right")  # behind the last for a word without a rank
+        classes = self.first_class[-1] + (ids & (RARE_CLASSES - 1))
+        steps = []
+        for k, (_, depth) in enumerate(self.settings.bands):
+            which = np.flatnonzero(band == k)
+            place = ids[which] - (self.ends[k - 1] if k else 0)
+            classes[which] = self.first_class[k] + place // branch**depth
+            for d in range(depth):
+                steps.append((which, self.first_node[k][d] + place // branch ** (depth - d), place // branch ** (depth - d - 1) % branch))
+        which, node, choice = (np.concatenate(x) for x in zip(*steps, strict=True))
+        return classes, which, node, choice
+
+    def shard(self, ids: np.ndarray, docs: np.ndarray, shards: int) -> np.ndarray:
+        """The shard of each token by its history; ``ids`` are those of the three words before, ``docs`` hashes of the documents."""
+        one, two = ids[0], ids[1]
+        count = np.where(one == START, self.texts, 0.0)
+        ranked = one < UNRANKED
+        count[ranked] = self.counts[one[ranked]]
+        many = np.maximum(np.ceil(count * 4 / self.settings.shard_tokens), 1).astype(np.int64)
+        by_word = np.minimum(many, BY_WORD)
+        by_doc = -(-many // by_word)
+        hashed = words.mix(two.astype(np.uint64) * words.FACTORS[45])
+        piece = (hashed % by_word.astype(np.uint64)) * by_doc.astype(np.uint64) + docs % by_doc.astype(np.uint64)
+        return (words.mix(one.astype(np.uint64) * words.FACTORS[46] + piece * words.FACTORS[47]) % U(shards)).astype(np.int32)
+
+
+def _log_shares(counts: np.ndarray) -> np.ndarray:
+    """Logarithms of each row's counts against its largest, and something very small for 0."""
+    with np.errstate(divide="ignore"):
+        return np.where(counts > 0, np.log(counts) - np.log(np.maximum(counts.max(axis=1, keepdims=True), ADDED)), -1e9).astype(np.float32)
+
+
+def history(ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The ids of the three words before each token, nearest first; START before a text."""
+    starts = np.repeat(np.cumsum(counts) - counts, counts)
+    place = np.arange(len(ids)) - starts
+    return np.stack([np.where(place >= k, np.roll(ids, k), START) for k in (1, 2, 3)])
+
+
+def features(before: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each of FEATURES features of each token's history."""
-    starts = np.cumsum(counts) - counts
-    one = np.empty_like(h)
-    one[1:] = h[:-1]
-    one[starts] = START
-    two = np.empty_like(h)
-    two[2:] = h[:-2]
-    two[starts] = START
-    two[(starts + 1)[counts > 1]] = START
-    return np.stack((words.mix(one * words.FACTORS[40]), words.mix(one * words.FACTORS[41] + two * words.FACTORS[42]), words.mix(two * words.FACTORS[43])))
+    one, two, three = before.astype(np.uint64) + U(1)
+    return np.stack((words.mix(one * words.FACTORS[40]), words.mix(one * words.FACTORS[41] + two * words.FACTORS[42]), words.mix(one * words.FACTORS[41] + three * words.FACTORS[43])))
 
 
-def rows_of(hashed: np.ndarray) -> np.ndarray:
-    return (hashed >> U(64 - 15)).astype(np.int64) & (ROWS - 1)
+class Model:
+    """A shard's weights, adaptive gradient steps over them, and scores."""
 
+    def __init__(self, vocabulary: Vocabulary):
+        self.vocabulary, self.settings = vocabulary, vocabulary.settings
+        self.tables = [np.zeros((rows, bias.shape[-1]), np.float32) for rows, bias in zip(self.settings.rows, vocabulary.bias, strict=True)]
+        self.squares = [np.full(len(t), 1e-2, np.float32) for t in self.tables]
 
-class Weights:
-    """The two tables of weights, and the sparse batches over them."""
+    def rows(self, k: int, hashed: np.ndarray, node: np.ndarray | None = None) -> np.ndarray:
+        """Rows of a table: of the features, and of the features and a node."""
+        if node is not None:
+            hashed = words.mix(hashed ^ (node.astype(np.uint64) + U(1)) * words.FACTORS[44])
+        return (hashed >> U(40)).astype(np.int64) & (len(self.tables[k]) - 1)
 
-    def __init__(self, vocabulary: Vocabulary, tables: list[np.ndarray] | None = None):
-        self.vocabulary = vocabulary
-        self.tables = tables or [np.zeros((ROWS, n), np.float32) for n in (vocabulary.word_classes + RARE_CLASSES, vocabulary.class_words)]
-
-    def __getstate__(self):
-        return {"vocabulary": self.vocabulary, "tables": self.tables}
-
-    @staticmethod
-    def _softmax(table: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    def _softmax(self, k: int, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        table = self.tables[k]
         p = table[rows[0]]
         for r in rows[1:]:
             p += table[r]
@@ -212,162 +276,193 @@ class Weights:
         p /= (p @ np.ones(p.shape[1], np.float32))[:, None]
         return p
 
-    def batches(self, h: np.ndarray, counts: np.ndarray, rank: np.ndarray) -> Iterator[tuple]:
-        """Batches of a block's tokens: their classes, places, and hashes of the features."""
-        classes, places = self.vocabulary.classes(h, rank)
-        hashed = features(h, counts)
-        for a in range(0, len(h), BATCH):
-            b = slice(a, a + BATCH)
-            yield classes[b], places[b], hashed[:, b]
-
-    def within(self, hashed: np.ndarray, classes: np.ndarray) -> np.ndarray:
-        """Rows of the second table: of a feature and the class."""
-        return rows_of(words.mix(hashed ^ (classes.astype(np.uint64) + U(1)) * words.FACTORS[44]))
-
-    def log10(self, h: np.ndarray, counts: np.ndarray, rank: np.ndarray) -> np.ndarray:
-        """Of each token of a block the log10 of its class, times its own within the class where it isn't rare."""
-        out = []
-        for classes, places, hashed in self.batches(h, counts, rank):
-            n = np.arange(len(classes))
-            p = self._softmax(self.tables[0], self.vocabulary.class_bias, rows_of(hashed))[n, classes].astype(np.float64)
-            known = np.flatnonzero(places >= 0)
-            if len(known):
-                q = self._softmax(self.tables[1], self.vocabulary.word_bias[classes[known]], self.within(hashed[:, known], classes[known]))
-                p[known] *= q[np.arange(len(known)), places[known]]
-            out.append(np.log10(np.maximum(p, 1e-30)))
-        return np.concatenate(out)
-
-
-class Trainer:
-    """Gradient steps of one task: adaptive in each row, and counted, for the average."""
-
-    def __init__(self, weights: Weights):
-        self.weights = Weights(weights.vocabulary, [t.copy() for t in weights.tables])
-        self.squares = [np.full(len(t), 1e-2, np.float32) for t in self.weights.tables]
-        self.updates = [np.zeros(len(t), np.int64) for t in self.weights.tables]
+    def _steps(self, before: np.ndarray, ids: np.ndarray) -> Iterator[tuple]:
+        """For the classes and for all steps below them: the table, the tokens, the rows, the choices and their probabilities."""
+        hashed = features(before)
+        classes, which, node, choice = self.vocabulary.paths(ids)
+        rows = self.rows(0, hashed)
+        yield 0, np.arange(len(ids)), rows, classes, self._softmax(0, self.vocabulary.bias[0], rows)
+        for a in range(0, len(which), self.settings.batch):
+            b = slice(a, a + self.settings.batch)
+            rows = self.rows(1, hashed[:, which[b]], node[b])
+            yield 1, which[b], rows, choice[b], self._softmax(1, self.vocabulary.bias[1][node[b]], rows)
+
+    def train(self, before: np.ndarray, ids: np.ndarray) -> None:
+        for a in range(0, len(ids), self.settings.batch):
+            for k, _, rows, choice, p in self._steps(before[:, a : a + self.settings.batch], ids[a : a + self.settings.batch]):
+                p[np.arange(len(choice)), choice] -= 1
+                self._step(k, rows, p)
+
+    def log10(self, before: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """The log10 of the probability of each token's class and of all choices below it."""
+        out = np.zeros(len(ids))
+        for a in range(0, len(ids), self.settings.batch):
+            own = out[a : a + self.settings.batch]
+            for _, which, _, choice, p in self._steps(before[:, a : a + self.settings.batch], ids[a : a + self.settings.batch]):
+                np.add.at(own, which, np.log10(np.maximum(p[np.arange(len(choice)), choice].astype(np.float64), 1e-30)))
+        return out
 
     def _step(self, k: int, rows: np.ndarray, wrong: np.ndarray) -> None:
         """The gradient of each row, summed over the batch's tokens that have it."""
         n = len(wrong)
         # Rows and tokens in one number sort faster than an order does.
-        keys = (rows.astype(np.int64) * n + np.arange(n)).ravel()
+        keys = (rows * n + np.arange(n)).ravel()
         keys.sort()
         flat, token = np.divmod(keys, n)
         first = np.flatnonzero(np.concatenate(([True], flat[1:] != flat[:-1])))
         times = np.diff(first, append=len(flat))
         alone = times == 1
-        self._update(k, flat[first[alone]], wrong[token[first[alone]]], 1)
+        self._update(k, flat[first[alone]], wrong[token[first[alone]]])
         if not alone.all():
             # Sums run along memory where a row is a class.
             several = np.repeat(~alone, times)
             starts = np.cumsum(times[~alone]) - times[~alone]
             sums = np.add.reduceat(np.take(np.ascontiguousarray(wrong.T), token[several], axis=1), starts, axis=1)
-            self._update(k, flat[first[~alone]], sums.T, times[~alone])
+            self._update(k, flat[first[~alone]], sums.T)
 
-    def _update(self, k: int, touched: np.ndarray, gradient: np.ndarray, times) -> None:
+    def _update(self, k: int, touched: np.ndarray, gradient: np.ndarray) -> None:
         """A step along the gradients of different rows."""
-        table = self.weights.tables[k]
         squares = self.squares[k][touched] + np.einsum("ij,ij->i", gradient, gradient)
         self.squares[k][touched] = squares
-        table[touched] -= gradient * (STEP / np.sqrt(squares))[:, None]
-        self.updates[k][touched] += times
-
-    def train(self, block: list[bytes]) -> None:
-        w = self.weights
-        h, counts = tokens(block)
-        for classes, places, hashed in w.batches(h, counts, w.vocabulary.ranks(h)):
-            rows = rows_of(hashed)
-            p = w._softmax(w.tables[0], w.vocabulary.class_bias, rows)
-            p[np.arange(len(classes)), classes] -= 1
-            self._step(0, rows, p)
-            known = np.flatnonzero(places >= 0)
-            if len(known):
-                rows = w.within(hashed[:, known], classes[known])
-                q = w._softmax(w.tables[1], w.vocabulary.word_bias[classes[known]], rows)
-                q[np.arange(len(known)), places[known]] -= 1
-                self._step(1, rows, q)
-
-    def blocks(self) -> Iterator[tuple[int, int, bytes, bytes]]:
-        """Table, block of rows, weights times updates, and updates, of the blocks that have any."""
-        for k, (table, updates) in enumerate(zip(self.weights.tables, self.updates, strict=True)):
-            for b in range(0, len(table), ROW_BLOCK):
-                n = updates[b : b + ROW_BLOCK]
-                if n.any():
-                    yield k, b // ROW_BLOCK, (table[b : b + ROW_BLOCK] * n[:, None].astype(np.float32)).astype(np.float32).tobytes(), n.astype(np.float64).tobytes()
-
-
-def train_round(training: DataFrame, weights: Weights) -> Weights:
-    """The average of what all tasks make of the weights over their documents."""
-    held = training.sparkSession.sparkContext.broadcast(weights)
+        self.tables[k][touched] -= gradient * (self.settings.step / np.sqrt(squares))[:, None]
+
+
+# Packed tokens
+
+
+def _pack(values: np.ndarray) -> bytes:
+    """The bytes of numbers by significance, compressed."""
+    planes = np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+    return pa.Codec("zstd", 1).compress(planes.tobytes(), asbytes=True)
+
+
+def _unpack(data: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.Codec("zstd").decompress(data, 4 * n, asbytes=True), np.uint8).reshape(4, n)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
+
+
+PACKS = "shard int, part int, number int, n int, doc_id array<long>, text_key array<long>, held_out array<boolean>, docs binary, ids binary, before array<binary>"
+PACKS_ARROW = pa.schema([("shard", pa.int32()), ("part", pa.int32()), ("number", pa.int32()), ("n", pa.int32()), ("doc_id", pa.list_(pa.int64())), ("text_key", pa.list_(pa.int64())), ("held_out", pa.list_(pa.bool_())), ("docs", pa.binary()), ("ids", pa.binary()), ("before", pa.list_(pa.binary()))])
+SCORED = "doc_id long, text_key long, score double, rows int"
+
+
+def pack_tokens(rows: DataFrame, vocabulary, shards: int) -> DataFrame:
+    """All tokens with their histories, packed by shard; ``vocabulary`` is a broadcast one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trainer = Trainer(held.value)
-        for batch in batches:
-            for block in words.blocks(_bytes(batch.column(0))):
-                trainer.train(block)
-        for k, b, sums, n in trainer.blocks():
-            yield pa.record_batch([pa.array([k], pa.int32()), pa.array([b], pa.int32()), pa.array([sums], pa.binary()), pa.array([n], pa.binary())], ["k", "block", "sums", "n"])
+        v = vocabulary.value
+        context = TaskContext.get()
+        part, number = context.partitionId() if context else 0, 0
+        held: list[tuple] = []
+        docs: list[pa.RecordBatch] = []
+        n_docs = size = 0
+
+        def packed() -> Iterator[pa.RecordBatch]:
+            of, ids, before = (np.concatenate(x, axis=-1) for x in zip(*held, strict=True))
+            described = pa.Table.from_batches(docs).combine_chunks()
+            keys = described.column("text_key").to_numpy().astype(np.uint64)
+            shard = v.shard(before, words.mix(keys[of]), shards)
+            order = np.argsort(shard, kind="stable")
+            of, ids, before = of[order], ids[order], before[:, order]
+            bounds = np.searchsorted(shard[order], np.arange(shards + 1))
+            for s in np.flatnonzero(np.diff(bounds)):
+                own = slice(bounds[s], bounds[s + 1])
+                some, place = np.unique(of[own], return_inverse=True)
+                described_here = described.take(pa.array(some))
+                lists = [described_here.column(c).to_pylist() for c in ("doc_id", "text_key", "held_out")]
+                values = [int(s), part, number, len(place), *lists, _pack(place), _pack(ids[own]), [_pack(x) for x in before[:, own]]]
+                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(values, PACKS_ARROW.types, strict=True)], schema=PACKS_ARROW)
+
+        for batch in pieces(batches):
+            at = 0
+            for block in words.blocks(_bytes(batch.column(3))):
+                h, n = tokens(block)
+                ids = v.ids(h)
+                held.append((np.repeat(np.arange(n_docs, n_docs + len(block)), n), ids, history(ids, n)))
+                docs.append(batch.slice(at, len(block)).select(["doc_id", "text_key", "held_out"]))
+                at += len(block)
+                n_docs += len(block)
+                size += len(h)
+                if size >= PACKED:
+                    yield from packed()
+                    held, docs, n_docs, size = [], [], 0, 0
+                    number += 1
+        if held:
+            yield from packed()
+
+    return rows.mapInArrow(run, PACKS)
+
+
+def train_and_score(vocabulary):
+    """The sum of the log10 probabilities of each document's tokens in a shard, by a model of those not held out."""
+
+    def decoded(packs: list[dict]) -> Iterator[tuple]:
+        """Some packs' tokens at once: their documents, ids, histories, and the documents' descriptions."""
+        held, size, first, docs = [], 0, 0, []
+        for k, row in enumerate(packs):
+            of, ids = _unpack(row["docs"], row["n"]) + first, _unpack(row["ids"], row["n"])
+            held.append((of, ids, np.stack([_unpack(x, row["n"]) for x in row["before"]])))
+            docs += zip(row["doc_id"], row["text_key"], row["held_out"], strict=True)
+            first, size = len(docs), size + row["n"]
+            if size >= DECODED or k == len(packs) - 1:
+                yield (*(np.concatenate(x, axis=-1) for x in zip(*held, strict=True)), docs)
+                held, size, first, docs = [], 0, 0, []
+
+    def whole(packs: list[dict]) -> Iterator[pa.RecordBatch]:
+        model = Model(vocabulary.value)
+        for _ in range(model.settings.passes):
+            for of, ids, before, docs in decoded(packs):
+                training = ~np.array([d[2] for d in docs])[of]
+                model.train(before[:, training], ids[training])
+        for of, ids, before, docs in decoded(packs):
+            score = np.bincount(of, model.log10(before, ids), len(docs))
+            rows = np.bincount(of, before[0] == START, len(docs))
+            yield pa.record_batch([pa.array([d[0] for d in docs], pa.int64()), pa.array([d[1] for d in docs], pa.int64()), pa.array(score), pa.array(rows.astype(np.int32))], ["doc_id", "text_key", "score", "rows"])
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Running sums of a few blocks of rows, whatever the number of tasks they come from."""
-        sums: dict[tuple[int, int], list[np.ndarray]] = {}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packs: list[dict] = []  # compressed, of one shard
         for batch in batches:
-            for k, b, s, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                s, n = np.frombuffer(s, np.float32).astype(np.float64), np.frombuffer(n)
-                if (k, b) in sums:
-                    sums[k, b][0] += s
-                    sums[k, b][1] += n
-                else:
-                    sums[k, b] = [s, n.copy()]
-        for (k, b), (s, n) in sums.items():
-            mean = s.reshape(len(n), -1) / np.maximum(n, 1)[:, None]
-            yield pa.record_batch([pa.array([k], pa.int32()), pa.array([b], pa.int32()), pa.array([mean.astype(np.float32).tobytes()], pa.binary()), pa.array([(n > 0).tobytes()], pa.binary())], ["k", "block", "sums", "n"])
-
-    schema = "k int, block int, sums binary, n binary"
-    averaged = training.select("text").mapInArrow(run, schema).repartition("k", "block").mapInArrow(add, schema)
-    tables = [t.copy() for t in weights.tables]
-    for row in averaged.toLocalIterator():  # the model, of fixed size
-        table = tables[row["k"]]
-        at = slice(row["block"] * ROW_BLOCK, (row["block"] + 1) * ROW_BLOCK)
-        mean, seen = np.frombuffer(row["sums"], np.float32).reshape(-1, table.shape[1]), np.frombuffer(row["n"], bool)
-        table[at] = np.where(seen[:, None], mean, table[at])
-    return Weights(weights.vocabulary, tables)
-
-
-PARTS = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, model double, rare array<struct<h: long, n: int>>"
-
-
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).to_pylist()[0]
+                if packs and packs[0]["shard"] != row["shard"]:
+                    yield from whole(packs)
+                    packs = []
+                packs.append(row)
+        if packs:
+            yield from whole(packs)
+
+    return run
+
+
+PARTS = "row long, doc_id long, text_key long, held_out boolean, n_tokens long, n_known long, base double, model double, rare array<struct<h: long, n: int>>"
+
+
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings()) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``.
 
     Both scores are log10 probabilities of the whole text; the model and the counts come from the rows not held out.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).cast("binary").alias("text"))
-    training = rows.where("NOT held_out")
-    counts = stored(count_tokens(training), "counts")
-    vocabulary = Vocabulary(counts)
-    weights = Weights(vocabulary)
-    for r in range(ROUNDS):
-        share = training if ROUNDS == 1 else training.where(F.pmod(F.xxhash64("doc_id"), F.lit(ROUNDS)) == r)
-        weights = train_round(share, weights)
-    held = docs.sparkSession.sparkContext.broadcast(weights)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = held.value
-        v = model.vocabulary
+    text = named(text_col)
+    rows = docs.select(named(id_col).cast("long").alias("doc_id"), text_key(text).alias("text_key"), held_out(named(id_col)).alias("held_out"), text.cast("binary").alias("text"))
+    counts = stored(count_tokens(rows.where("NOT held_out")), "counts")
+    vocabulary = Vocabulary(counts, settings)
+    held = docs.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def base(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = held.value
         within = np.log10(v.rare_total)
         context = TaskContext.get()
         row = (context.partitionId() if context else 0) << 36
-        for batch in batches:
+        for batch in pieces(batches):
             at = 0
-            for block in words.blocks(_bytes(batch.column(2))):
+            for block in words.blocks(_bytes(batch.column(3))):
                 h, n = tokens(block)
                 first = np.cumsum(n) - n
-                rank = v.ranks(h)
-                c = v.count_of(h, rank)
+                ids = v.ids(h)
+                c = v.count_of(ids)
                 known = c > 0
                 own = np.log10(np.where(known, c + ADDED, 1.0))  # the others' come with the join
-                p = model.log10(h, n, rank) + np.where(rank < 0, own - within[rare_class(h)], 0.0)
+                share = np.where(known, 0.0, -within[ids & (RARE_CLASSES - 1)])  # of a rare word in its class
                 # The words whose counts come with the join, each document's together.
                 unknown = np.flatnonzero(~known)
                 doc = np.repeat(np.arange(len(block)), n)[unknown]
@@ -379,21 +474,28 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                 size = len(block)
                 yield pa.record_batch(
                     [
-                        pa.array(np.arange(row, row + size)), batch.column(0).slice(at, size), batch.column(1).slice(at, size), pa.array(n), pa.array(np.add.reduceat(known.astype(np.int64), first)),
-                        pa.array(np.add.reduceat(own, first) - n * v.log_total), pa.array(np.add.reduceat(p, first)), others,
+                        pa.array(np.arange(row, row + size)), *(batch.column(k).slice(at, size) for k in range(3)), pa.array(n), pa.array(np.add.reduceat(known.astype(np.int64), first)),
+                        pa.array(np.add.reduceat(own, first) - n * v.log_total), pa.array(np.add.reduceat(share, first)), others,
                     ],
-                    ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "model", "rare"],
+                    ["row", "doc_id", "text_key", "held_out", "n_tokens", "n_known", "base", "model", "rare"],
                 )
                 at += size
                 row += size
 
-    parts = stored(rows.mapInArrow(run, PARTS), "parts")
+    parts = stored(rows.mapInArrow(base, PARTS), "parts")
     # Words that are not among the frequent ones are all rare to the model, whose part of them is linear in the same logarithm.
     looked = parts.select("row", F.inline("rare")).join(counts.select("h", "c"), "h", "left")
     more = looked.groupBy("row").agg(F.sum(F.log10(F.coalesce("c", F.lit(0)) + F.lit(ADDED)) * F.col("n")).alias("own"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("known"))
-    out = parts.drop("rare").join(more, "row", "left")
+
+    shards = max(1, -(-vocabulary.n // settings.shard_tokens))
+    packs = pack_tokens(rows, held, shards).repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "part", "number")
+    # Rows that are one document have had their tokens scored together.
+    sums = packs.mapInArrow(train_and_score(held), SCORED).groupBy("doc_id", "text_key").agg((F.sum("score") / F.sum("rows")).alias("total"))
+    sums = sums.withColumnsRenamed({"doc_id": "s_doc", "text_key": "s_key"})
+
+    out = parts.drop("rare").join(more, "row", "left").join(sums, F.col("doc_id").eqNullSafe(F.col("s_doc")) & (F.col("text_key") == F.col("s_key")), "left")
     own = F.coalesce("own", F.lit(0.0))
     return out.select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(vocabulary.n).cast("long").alias("train_tokens"),
-        (F.col("base") + own).alias("base_score"), (F.col("model") + own).alias("score"),
+        (F.col("base") + own).alias("base_score"), (F.col("total") + F.col("model") + own).alias("score"),
     )
