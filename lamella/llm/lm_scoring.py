@@ -12,7 +12,9 @@ All features hold the word before. So the weights are dealt out by that word: a
 follow its words, takes gradient steps over those in training in small sparse batches, and then scores all of them. Each weight has one
 owner; weights are neither averaged, broadcast nor collected, and there are as many shards as ``shard_tokens`` asks for, each with
 its own tables of ``rows`` rows: the model grows with the corpus. A word before that is very common is dealt out further,
-by the word before it and, beyond that, by the document. Tokens are packed by shard in the task that reads the text.
+by the word before it and, beyond that, by the document. Tokens are packed by shard in the task that reads the text, and
+what a task hands on of a run of documents is a few packs. Within a shard, tokens that are the same with the same history are one
+event with a weight; events are taken in the order of their hash, so the result does not depend on that of the packs.
 
 The counts of words, on which the base score rests, grow with the corpus and are not broadcast: those of the ``frequent``
 most frequent words at most are, and the other words of the documents are joined with the table of counts. Words are
@@ -20,7 +22,7 @@ told apart by 59 bits of their hash and their rare class; of n different words s
 probability of n ** 2 / 2 ** 65.
 
 Defined cases: a null or blank text is its end token alone; a null id counts as the empty text where ids decide what is
-held out; repeated rows are trained on and scored each, and share their scores; without training documents every word is
+held out; repeated rows are trained on and scored each; without training documents every word is
 unknown; an empty table gives no rows; other columns are ignored.
 """
 
@@ -287,10 +289,14 @@ class Model:
             rows = self.rows(1, hashed[:, which[b]], node[b])
             yield 1, which[b], rows, choice[b], self._softmax(1, self.vocabulary.bias[1][node[b]], rows)
 
-    def train(self, before: np.ndarray, ids: np.ndarray) -> None:
+    def train(self, before: np.ndarray, ids: np.ndarray, times: np.ndarray) -> None:
+        """Steps over events, each of which counts as often as ``times`` says."""
         for a in range(0, len(ids), self.settings.batch):
-            for k, _, rows, choice, p in self._steps(before[:, a : a + self.settings.batch], ids[a : a + self.settings.batch]):
+            b = slice(a, a + self.settings.batch)
+            weights = times[b].astype(np.float32)
+            for k, which, rows, choice, p in self._steps(before[:, b], ids[b]):
                 p[np.arange(len(choice)), choice] -= 1
+                p *= weights[which][:, None]
                 self._step(k, rows, p)
 
     def log10(self, before: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -341,89 +347,124 @@ def _unpack(data: bytes, n: int) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
 
 
-PACKS = "shard int, part int, number int, n int, doc_id array<long>, text_key array<long>, held_out array<boolean>, docs binary, ids binary, before array<binary>"
-PACKS_ARROW = pa.schema([("shard", pa.int32()), ("part", pa.int32()), ("number", pa.int32()), ("n", pa.int32()), ("doc_id", pa.list_(pa.int64())), ("text_key", pa.list_(pa.int64())), ("held_out", pa.list_(pa.bool_())), ("docs", pa.binary()), ("ids", pa.binary()), ("before", pa.list_(pa.binary()))])
-SCORED = "doc_id long, text_key long, score double, rows int"
+DOCUMENT = [("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("model", pa.float64()), ("rare", pa.list_(pa.struct([("h", pa.int64()), ("n", pa.int32())])))]
+DOCUMENT_DDL = "doc_id: long, held_out: boolean, n_tokens: long, n_known: long, base: double, model: double, rare: array<struct<h: long, n: int>>"
+PACKS = pa.schema([("shard", pa.int32()), ("part", pa.int32()), ("number", pa.int32()), ("n", pa.int32()), ("docs", pa.binary()), ("ids", pa.binary()), ("before", pa.list_(pa.binary())), ("documents", pa.list_(pa.struct(DOCUMENT)))])
+PACKS_DDL = f"shard int, part int, number int, n int, docs binary, ids binary, before array<binary>, documents array<struct<{DOCUMENT_DDL}>>"
+SUMS = f"part int, number int, docs binary, sums binary, documents array<struct<{DOCUMENT_DDL}>>"
+
+
+def described(rows: pa.RecordBatch, h: np.ndarray, n: np.ndarray, ids: np.ndarray, v: Vocabulary) -> pa.StructArray:
+    """What is known of some documents without the model: DOCUMENT, with the words whose counts come with a join."""
+    first = np.cumsum(n) - n
+    c = v.count_of(ids)
+    known = c > 0
+    own = np.log10(np.where(known, c + ADDED, 1.0))  # the others' come with the join
+    share = np.where(known, 0.0, -np.log10(v.rare_total)[ids & (RARE_CLASSES - 1)])  # of a rare word in its class
+    unknown = np.flatnonzero(~known)
+    doc = np.repeat(np.arange(len(n)), n)[unknown]
+    order = np.lexsort((h[unknown], doc))
+    doc, other = doc[order], h[unknown][order]
+    new = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (other[1:] != other[:-1])))) if len(doc) else np.empty(0, np.int64)
+    pairs = pa.StructArray.from_arrays([_signed(other[new]), pa.array(np.diff(new, append=len(doc)).astype(np.int32))], ["h", "n"])
+    rare = pa.ListArray.from_arrays(pa.array(np.searchsorted(doc[new], np.arange(len(n) + 1)).astype(np.int32)), pairs)
+    sums = [np.add.reduceat(x, first) for x in (known.astype(np.int64), own, share)]
+    columns = [rows.column("doc_id"), rows.column("held_out"), pa.array(n), pa.array(sums[0]), pa.array(sums[1] - n * v.log_total), pa.array(sums[2]), rare]
+    return pa.StructArray.from_arrays(columns, fields=[pa.field(*f) for f in DOCUMENT])
 
 
 def pack_tokens(rows: DataFrame, vocabulary, shards: int) -> DataFrame:
-    """All tokens with their histories, packed by shard; ``vocabulary`` is a broadcast one."""
+    """All tokens with their histories, packed by shard; the first pack of some documents describes them. ``vocabulary`` is a broadcast one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary.value
         context = TaskContext.get()
         part, number = context.partitionId() if context else 0, 0
         held: list[tuple] = []
-        docs: list[pa.RecordBatch] = []
+        documents: list[pa.StructArray] = []
         n_docs = size = 0
 
         def packed() -> Iterator[pa.RecordBatch]:
-            of, ids, before = (np.concatenate(x, axis=-1) for x in zip(*held, strict=True))
-            described = pa.Table.from_batches(docs).combine_chunks()
-            keys = described.column("text_key").to_numpy().astype(np.uint64)
-            shard = v.shard(before, words.mix(keys[of]), shards)
+            of, ids, keys, before = (np.concatenate(x, axis=-1) for x in zip(*held, strict=True))
+            shard = v.shard(before, words.mix(keys), shards)
             order = np.argsort(shard, kind="stable")
             of, ids, before = of[order], ids[order], before[:, order]
             bounds = np.searchsorted(shard[order], np.arange(shards + 1))
+            some = pa.concat_arrays(documents)
+            lists = pa.ListArray.from_arrays(pa.array([0, len(some)], pa.int32()), some)
             for s in np.flatnonzero(np.diff(bounds)):
                 own = slice(bounds[s], bounds[s + 1])
-                some, place = np.unique(of[own], return_inverse=True)
-                described_here = described.take(pa.array(some))
-                lists = [described_here.column(c).to_pylist() for c in ("doc_id", "text_key", "held_out")]
-                values = [int(s), part, number, len(place), *lists, _pack(place), _pack(ids[own]), [_pack(x) for x in before[:, own]]]
-                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(values, PACKS_ARROW.types, strict=True)], schema=PACKS_ARROW)
+                values = [int(s), part, number, int(bounds[s + 1] - bounds[s]), _pack(of[own]), _pack(ids[own]), [_pack(x) for x in before[:, own]]]
+                arrays = [pa.array([x], t) for x, t in zip(values, PACKS.types[:-1], strict=True)]
+                yield pa.RecordBatch.from_arrays([*arrays, lists if lists is not None else pa.nulls(1, PACKS.types[-1])], schema=PACKS)
+                lists = None
 
         for batch in pieces(batches):
             at = 0
             for block in words.blocks(_bytes(batch.column(3))):
+                own = batch.slice(at, len(block))
                 h, n = tokens(block)
                 ids = v.ids(h)
-                held.append((np.repeat(np.arange(n_docs, n_docs + len(block)), n), ids, history(ids, n)))
-                docs.append(batch.slice(at, len(block)).select(["doc_id", "text_key", "held_out"]))
+                # A document's number, and in the lowest bit whether it is held out.
+                of = 2 * np.arange(n_docs, n_docs + len(block)) + own.column("held_out").to_numpy(zero_copy_only=False)
+                held.append((np.repeat(of, n), ids, np.repeat(own.column("text_key").to_numpy().astype(np.uint64), n), history(ids, n)))
+                documents.append(described(own, h, n, ids, v))
                 at += len(block)
                 n_docs += len(block)
                 size += len(h)
                 if size >= PACKED:
                     yield from packed()
-                    held, docs, n_docs, size = [], [], 0, 0
+                    held, documents, n_docs, size = [], [], 0, 0
                     number += 1
         if held:
             yield from packed()
 
-    return rows.mapInArrow(run, PACKS)
+    return rows.mapInArrow(run, PACKS_DDL)
+
+
+def event_keys(before: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each token with its history, which also is the order in which events are taken."""
+    one, two, three = before.astype(np.uint64)
+    return words.mix(one * words.FACTORS[50] + two * words.FACTORS[51] + three * words.FACTORS[52] + ids.astype(np.uint64) * words.FACTORS[53])
 
 
 def train_and_score(vocabulary):
     """The sum of the log10 probabilities of each document's tokens in a shard, by a model of those not held out."""
 
-    def decoded(packs: list[dict]) -> Iterator[tuple]:
-        """Some packs' tokens at once: their documents, ids, histories, and the documents' descriptions."""
-        held, size, first, docs = [], 0, 0, []
-        for k, row in enumerate(packs):
-            of, ids = _unpack(row["docs"], row["n"]) + first, _unpack(row["ids"], row["n"])
-            held.append((of, ids, np.stack([_unpack(x, row["n"]) for x in row["before"]])))
-            docs += zip(row["doc_id"], row["text_key"], row["held_out"], strict=True)
-            first, size = len(docs), size + row["n"]
-            if size >= DECODED or k == len(packs) - 1:
-                yield (*(np.concatenate(x, axis=-1) for x in zip(*held, strict=True)), docs)
-                held, size, first, docs = [], 0, 0, []
-
     def whole(packs: list[dict]) -> Iterator[pa.RecordBatch]:
-        model = Model(vocabulary.value)
+        n = [row["n"] for row in packs]
+        of = np.concatenate([_unpack(row["docs"], row["n"]) for row in packs])
+        ids = np.concatenate([_unpack(row["ids"], row["n"]) for row in packs])
+        before = np.concatenate([np.stack([_unpack(x, row["n"]) for x in row["before"]]) for row in packs], axis=1)
+        keys = event_keys(before, ids)
+        order = np.argsort(keys)
+        new = np.concatenate(([True], keys[order][1:] != keys[order][:-1]))
+        event = np.empty(len(keys), np.int64)
+        event[order] = np.cumsum(new) - 1
+        first = order[new]
+        times = np.bincount(event, of & 1 == 0, len(first))  # in training documents
+        ids, before = ids[first], before[:, first]
+        model, training = Model(vocabulary.value), np.flatnonzero(times)
         for _ in range(model.settings.passes):
-            for of, ids, before, docs in decoded(packs):
-                training = ~np.array([d[2] for d in docs])[of]
-                model.train(before[:, training], ids[training])
-        for of, ids, before, docs in decoded(packs):
-            score = np.bincount(of, model.log10(before, ids), len(docs))
-            rows = np.bincount(of, before[0] == START, len(docs))
-            yield pa.record_batch([pa.array([d[0] for d in docs], pa.int64()), pa.array([d[1] for d in docs], pa.int64()), pa.array(score), pa.array(rows.astype(np.int32))], ["doc_id", "text_key", "score", "rows"])
+            for a in range(0, len(training), DECODED):
+                some = training[a : a + DECODED]
+                model.train(before[:, some], ids[some], times[some])
+        score = model.log10(before, ids)
+        at = 0
+        for row, size in zip(packs, n, strict=True):
+            own = slice(at, at + size)
+            docs, place = np.unique(of[own] >> 1, return_inverse=True)
+            sums = np.bincount(place, score[event[own]])
+            arrays = [pa.array([x], t) for x, t in ((row["part"], pa.int32()), (row["number"], pa.int32()), (docs.astype(np.int32).tobytes(), pa.binary()), (sums.tobytes(), pa.binary()))]
+            yield pa.RecordBatch.from_arrays([*arrays, row["documents"]], ["part", "number", "docs", "sums", "documents"])
+            at += size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packs: list[dict] = []  # compressed, of one shard
         for batch in batches:
             for k in range(batch.num_rows):
-                row = batch.slice(k, 1).to_pylist()[0]
+                one = batch.slice(k, 1)
+                row = {name: one.column(name)[0].as_py() for name in one.schema.names if name != "documents"} | {"documents": one.column("documents")}
                 if packs and packs[0]["shard"] != row["shard"]:
                     yield from whole(packs)
                     packs = []
@@ -434,7 +475,18 @@ def train_and_score(vocabulary):
     return run
 
 
-PARTS = "row long, doc_id long, text_key long, held_out boolean, n_tokens long, n_known long, base double, model double, rare array<struct<h: long, n: int>>"
+SCORED = f"row long, {DOCUMENT_DDL.replace(': ', ' ', 6).replace('rare: ', 'rare ')}, total double"
+
+
+def documents_of(packs: pa.Table) -> pa.Table:
+    """The documents of some packs, as they were described, with their sums over all shards."""
+    lists = packs.column("documents").combine_chunks()
+    rows = lists.filter(lists.is_valid()).flatten()
+    total = np.zeros(len(rows))
+    for docs, sums in zip(packs.column("docs"), packs.column("sums"), strict=True):
+        total[np.frombuffer(docs.as_py(), np.int32)] += np.frombuffer(sums.as_py())
+    number = (packs.column("part")[0].as_py() << 42) + (packs.column("number")[0].as_py() << 21)
+    return pa.table([pa.array(number + np.arange(len(rows))), *rows.flatten(), pa.array(total)], ["row", *(name for name, _ in DOCUMENT), "total"])
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings()) -> DataFrame:
@@ -448,52 +500,14 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", setti
     vocabulary = Vocabulary(counts, settings)
     held = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
-    def base(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = held.value
-        within = np.log10(v.rare_total)
-        context = TaskContext.get()
-        row = (context.partitionId() if context else 0) << 36
-        for batch in pieces(batches):
-            at = 0
-            for block in words.blocks(_bytes(batch.column(3))):
-                h, n = tokens(block)
-                first = np.cumsum(n) - n
-                ids = v.ids(h)
-                c = v.count_of(ids)
-                known = c > 0
-                own = np.log10(np.where(known, c + ADDED, 1.0))  # the others' come with the join
-                share = np.where(known, 0.0, -within[ids & (RARE_CLASSES - 1)])  # of a rare word in its class
-                # The words whose counts come with the join, each document's together.
-                unknown = np.flatnonzero(~known)
-                doc = np.repeat(np.arange(len(block)), n)[unknown]
-                order = np.lexsort((h[unknown], doc))
-                doc, other = doc[order], h[unknown][order]
-                new = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (other[1:] != other[:-1])))) if len(doc) else np.empty(0, np.int64)
-                pairs = pa.StructArray.from_arrays([_signed(other[new]), pa.array(np.diff(new, append=len(doc)).astype(np.int32))], ["h", "n"])
-                others = pa.ListArray.from_arrays(pa.array(np.searchsorted(doc[new], np.arange(len(block) + 1)).astype(np.int32)), pairs)
-                size = len(block)
-                yield pa.record_batch(
-                    [
-                        pa.array(np.arange(row, row + size)), *(batch.column(k).slice(at, size) for k in range(3)), pa.array(n), pa.array(np.add.reduceat(known.astype(np.int64), first)),
-                        pa.array(np.add.reduceat(own, first) - n * v.log_total), pa.array(np.add.reduceat(share, first)), others,
-                    ],
-                    ["row", "doc_id", "text_key", "held_out", "n_tokens", "n_known", "base", "model", "rare"],
-                )
-                at += size
-                row += size
-
-    parts = stored(rows.mapInArrow(base, PARTS), "parts")
-    # Words that are not among the frequent ones are all rare to the model, whose part of them is linear in the same logarithm.
-    looked = parts.select("row", F.inline("rare")).join(counts.select("h", "c"), "h", "left")
-    more = looked.groupBy("row").agg(F.sum(F.log10(F.coalesce("c", F.lit(0)) + F.lit(ADDED)) * F.col("n")).alias("own"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("known"))
-
     shards = max(1, -(-vocabulary.n // settings.shard_tokens))
     packs = pack_tokens(rows, held, shards).repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "part", "number")
-    # Rows that are one document have had their tokens scored together.
-    sums = packs.mapInArrow(train_and_score(held), SCORED).groupBy("doc_id", "text_key").agg((F.sum("score") / F.sum("rows")).alias("total"))
-    sums = sums.withColumnsRenamed({"doc_id": "s_doc", "text_key": "s_key"})
-
-    out = parts.drop("rare").join(more, "row", "left").join(sums, F.col("doc_id").eqNullSafe(F.col("s_doc")) & (F.col("text_key") == F.col("s_key")), "left")
+    scored = packs.mapInArrow(train_and_score(held), SUMS).groupBy("part", "number").applyInArrow(documents_of, SCORED)
+    scored = stored(scored, "scored")
+    # Words that are not among the frequent ones are all rare to the model, whose part of them is linear in the same logarithm.
+    looked = scored.select("row", F.inline("rare")).join(counts.select("h", "c"), "h", "left")
+    more = looked.groupBy("row").agg(F.sum(F.log10(F.coalesce("c", F.lit(0)) + F.lit(ADDED)) * F.col("n")).alias("own"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("known"))
+    out = scored.drop("rare").join(more, "row", "left")
     own = F.coalesce("own", F.lit(0.0))
     return out.select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(vocabulary.n).cast("long").alias("train_tokens"),

@@ -57,7 +57,7 @@ def test_base_and_cases(spark, frequent, shard_tokens):
     out = lm_scoring.score(docs, settings=settings).collect()
     same(out, rows)
     assert all(math.isfinite(r.score) and r.score < 0 for r in out)
-    assert len({round(r.score, 9) for r in out if r.doc_id == 505 and r.n_tokens == 3}) == 2
+    assert len({round(r.score, 9) for r in out if r.doc_id == 505 and r.n_tokens == 3}) == 2  # of three rows two are the same
     assert lm_scoring.score(docs.limit(0)).count() == 0
 
 
@@ -118,15 +118,15 @@ class ByHand:
         return rows, {o: math.exp(x - top) / total for o, x in logits.items()}
 
     def train(self, events):
-        """A batch: first the classes, then the steps below, by band and depth, in runs of BATCH."""
-        below = [(before, step) for band in range(len(self.settings.bands)) for d in range(3) for before, t in events for step in self.steps(t)[1:] if step[0][:2] == (band, d)]
-        for run in [[(before, self.steps(t)[0]) for before, t in events], *(below[a : a + self.settings.batch] for a in range(0, len(below), self.settings.batch))]:
+        """A batch of events and their weights: first the classes, then the steps below, by band and depth, in runs of BATCH."""
+        below = [(before, step, w) for band in range(len(self.settings.bands)) for d in range(3) for before, t, w in events for step in self.steps(t)[1:] if step[0][:2] == (band, d)]
+        for run in [[(before, self.steps(t)[0], w) for before, t, w in events], *(below[a : a + self.settings.batch] for a in range(0, len(below), self.settings.batch))]:
             gradient = defaultdict(lambda: defaultdict(float))
-            for before, (node, choice) in run:
+            for before, (node, choice), w in run:
                 rows, p = self.probabilities(before, node)
                 for r in rows:
                     for o in p:
-                        gradient[r][o] += p[o] - (o == choice)
+                        gradient[r][o] += w * (p[o] - (o == choice))
             for r, g in gradient.items():
                 self.squares[r] += sum(x * x for x in g.values())
                 for o, x in g.items():
@@ -149,9 +149,13 @@ def test_scores_as_dictionaries_have_them(spark):
     out = {r.doc_id: r.score for r in lm_scoring.score(docs, settings=settings).collect()}
     model = ByHand(rows, settings)
     assert len(model.rank) < len(model.count)  # some words have no rank
-    events = [e for i, text in rows if not out_by_hand(i) for e in events_by_hand(text)]
-    for a in range(0, len(events), 16):
-        model.train(events[a : a + 16])
+    events = Counter(e for i, text in rows if not out_by_hand(i) for e in events_by_hand(text))
+    assert max(events.values()) > 1
+    v = lm_scoring.Vocabulary(lm_scoring.count_tokens(spark.createDataFrame([(t,) for i, t in rows if not out_by_hand(i)], "text string").selectExpr("CAST(text AS BINARY) AS text")), settings)
+    number = {t: int(v.ids(np.array([h], np.uint64))[0]) for t, h in model.hash.items()} | {"START": lm_scoring.START}
+    order = sorted(events, key=lambda e: lm_scoring.event_keys(np.array([[number[t]] for t in e[0]]), np.array([number[e[1]]]))[0])
+    for a in range(0, len(order), 16):
+        model.train([(*e, events[e]) for e in order[a : a + 16]])
     for i, text in rows:
         assert out[i] == pytest.approx(sum(model.log10(*e) for e in events_by_hand(text)), rel=1e-3), i
 
@@ -164,7 +168,7 @@ def test_probabilities_of_what_may_follow_add_up(spark):
         model = lm_scoring.Model(v)
         for _, text in rows:
             h, n = lm_scoring.tokens([text.encode()])
-            model.train(lm_scoring.history(v.ids(h), n), v.ids(h))
+            model.train(lm_scoring.history(v.ids(h), n), v.ids(h), np.ones(len(h)))
         known = Counter(t for _, text in rows for t in tokens_by_hand(text) if t)
         unseen = v.first_class[-1] + np.arange(lm_scoring.RARE_CLASSES)  # a word that is not known, in each rare class
         for past in ("", "the the0 ", "of "):
