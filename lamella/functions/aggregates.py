@@ -51,10 +51,14 @@ def sum_f64(x: Column | str) -> Column:
 
 
 def custom(function: Callable[[pd.Series], object], returns: DataType | str) -> Callable[..., Column]:
-    """An aggregate written for a pandas Series. It has no partial form: a group's values meet in one task."""
+    """An aggregate written for a pandas Series. It has no partial form: a group's values meet in one task.
+
+    ``operators.accumulators.accumulate`` takes one that merges.
+    """
+    kind = {"string": str, "boolean": bool, "double": float, "float": float}.get(returns if isinstance(returns, str) else returns.simpleString(), int)
 
     def whole(x: pd.Series) -> object:
         return function(x)
 
-    whole.__annotations__ = {"x": pd.Series, "return": object}
-    return F.pandas_udf(whole, returns, F.PandasUDFType.GROUPED_AGG)
+    whole.__annotations__ = {"x": pd.Series, "return": kind}
+    return F.pandas_udf(whole, returns)

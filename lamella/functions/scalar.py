@@ -44,6 +44,15 @@ def vectorized(function: Callable[..., pd.Series], returns: DataType | str) -> C
     return F.pandas_udf(function, returns)
 
 
+def null_aware(function: Callable[[pd.Series], pd.Series]) -> Callable[..., Column]:
+    """A predicate of one column in pandas that sees nulls and decides on them itself; it must say true or false."""
+
+    def test(x: pd.Series) -> pd.Series:
+        return function(x).astype(bool)
+
+    return F.pandas_udf(test, "boolean")
+
+
 def null_rejecting(function: Callable[[pd.Series], pd.Series]) -> Callable[..., Column]:
     """A predicate of one column in pandas, false for null whatever the function says."""
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lamella.sources.shared import shared_folder
+
 
 def filter_rows(df: DataFrame, *conditions: Column) -> DataFrame:
     """The rows for which all conditions are true; unknown (null) is not true."""
@@ -34,38 +36,41 @@ def group_aggregate(df: DataFrame, keys: str | Sequence[str], **aggregates: Colu
 def with_group_id(df: DataFrame, key: str, order_by: str, name: str = "group_id") -> DataFrame:
     """Puts a dense id first: 0 for the key that comes first in ``order_by``, 1 for the next new one, and so on.
 
-    A null key has a null id. Only the distinct keys are numbered. Where the order is an integer, their first positions
-    are counted by ranges, and a key's id is its range's start plus its place there, so neither rows nor keys meet in one
-    task; for other orders the keys are sorted in one.
+    A null key has a null id. Only the distinct keys are numbered, in whatever order: they are dealt into ranges of their
+    first positions, the bounds of which Spark samples, and a key's id is its range's start plus its place there, so
+    neither rows nor keys meet in one task. The ranges are checkpointed, which is a job of its own. A column of the new
+    one's name gives way to it.
     """
-    first = df.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("__key")).agg(F.min(order_by).alias("__first"))
-    ids = _numbered(first, "__first", name)
-    joined = df.join(ids, df[key] == ids["__key"], "left")
-    return joined.select(name, *(df[c] for c in df.columns))
-
-
-def _numbered(df: DataFrame, order_by: str, name: str) -> DataFrame:
-    """``df`` with the 0-based rank of a unique column, by counts of fixed ranges of it instead of one sorted partition."""
-    span = df.agg(F.min(order_by).alias("low"), F.max(order_by).alias("high")).first()
-    if span["low"] is None or not isinstance(span["low"], int) or span["high"] == span["low"]:
-        return df.withColumn(name, F.row_number().over(Window.orderBy(order_by)).cast("long") - 1)
-    # Ranges of equal width; skewed positions only make their windows longer.
-    width = (span["high"] - span["low"]) // 4096 + 1
-    ranged = df.withColumn("__range", F.call_function("div", F.col(order_by) - F.lit(span["low"]), F.lit(width)))
-    sizes = ranged.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
-    inside = F.row_number().over(Window.partitionBy("__range").orderBy(order_by))
-    return ranged.withColumn("__place", inside).join(starts, "__range").withColumn(name, F.col("__start") + F.col("__place") - 1).drop("__range", "__place", "__start")
+    rows = df.select(F.struct(*map(_named, df.columns)).alias("row"), _named(key).alias("key"), _named(order_by).alias("at"))
+    first = rows.where(F.col("key").isNotNull()).groupBy("key").agg(F.min("at").alias("at"))
+    ids = _numbered(first).select(F.col("key").alias("of"), "number")
+    joined = rows.join(ids, F.col("key") == F.col("of"), "left")
+    return joined.select(F.col("number").alias(name), *(F.col("row").getField(c).alias(c) for c in df.columns if c.lower() != name.lower()))
+
+
+def _named(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def _numbered(first: DataFrame) -> DataFrame:
+    """``key, number``: the 0-based rank of each key by ``at``, ties by the key."""
+    shared_folder(first.sparkSession)
+    parts = int(first.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = first.repartitionByRange(parts, "at", "key").withColumn("range", F.spark_partition_id()).checkpoint()
+    sizes = ranged.groupBy("range").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    starts = sizes.select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    place = F.row_number().over(Window.partitionBy("range").orderBy("at", "key"))
+    return ranged.withColumn("place", place).join(starts, "range").select("key", (F.col("start") + F.col("place") - 1).alias("number"))
 
 
 def cross(outer: DataFrame, inner: DataFrame) -> DataFrame:
-    """All pairs of rows, the outer's columns first."""
+    """All pairs of rows, the outer's columns first. The work is the product of the sides; Spark broadcasts one if it is small."""
     return outer.crossJoin(inner)
 
 
 def theta(outer: DataFrame, inner: DataFrame, condition: Column) -> DataFrame:
-    """The pairs of rows for which the condition is true."""
+    """The pairs of rows for which the condition is true. Without an equality in it the work is the product of the sides."""
     return outer.join(inner, condition, "inner")
 
 
@@ -79,3 +84,10 @@ def top_n(df: DataFrame, n: int, key: str, tiebreak: str | Sequence[str]) -> Dat
     """The ``n`` rows of the largest key, largest first, ties by ``tiebreak`` upward. Rows with a null key drop out."""
     ties = [tiebreak] if isinstance(tiebreak, str) else list(tiebreak)
     return df.where(F.col(key).isNotNull()).orderBy(F.col(key).desc(), *ties).limit(n)
+
+
+def chain(df: DataFrame, *steps: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Operators one after another, each a function of a frame, the reader's own among them."""
+    for step in steps:
+        df = df.transform(step)
+    return df

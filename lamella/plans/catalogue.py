@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamella.functions.aggregates import count_all, count_column, first_value, max_value, min_value, sum_f64, sum_i64
-from lamella.functions.scalar import bucket, int_div, multiply, negate, vectorized
-from lamella.operators.relational import aggregate, cross, filter_rows, group_aggregate, limit_rows, project, theta, top_n, with_group_id
-from lamella.operators.sinks import write_tsv
+from lamella.functions.aggregates import count_all, count_column, custom, first_value, max_value, min_value, sum_f64, sum_i64
+from lamella.functions.scalar import add, bucket, int_div, multiply, negate, null_aware, vectorized
+from lamella.operators.accumulators import accumulate
+from lamella.operators.relational import aggregate, chain, cross, filter_rows, group_aggregate, limit_rows, project, theta, top_n, with_group_id
+from lamella.operators.sinks import to_rows, write_tsv
+from lamella.sources.generators import generated, table_function
+from lamella.sources.shared import shared_folder
 from lamella.sources.tables import Constant, Counting, live_rows, sequence, table, values
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,11 +27,57 @@ NULLED = "nullif(user_id % 5, 0)"
 
 
 def query(sql: str):
-    def add(function):
+    def register(function):
         QUERIES[function.__name__], SQL[function.__name__] = function, sql
         return function
 
-    return add
+    return register
+
+
+class Squares:
+    """Squares modulo 97, each from the one before; every seventh is null."""
+
+    def __init__(self):
+        self.at, self.square = -1, 1
+
+    def next(self) -> None:
+        self.square = (self.square + 2 * self.at + 1) % 97
+        self.at += 1
+
+    def value(self) -> int:
+        return self.square
+
+    def is_null(self) -> bool:
+        return self.at % 7 == 6
+
+    def skip(self, n: int) -> None:
+        if n:
+            self.at += n
+            self.square = self.at**2 % 97
+
+
+class Span:
+    """The largest value less the smallest; null without any."""
+
+    def zero(self) -> tuple:
+        return None, None
+
+    def add(self, state: tuple, rows: pa.RecordBatch) -> tuple:
+        found = pc.min_max(rows.column(0)).as_py()
+        return self.merge(state, (found["min"], found["max"]))
+
+    def merge(self, one: tuple, other: tuple) -> tuple:
+        if one[0] is None or other[0] is None:
+            return other if one[0] is None else one
+        return min(one[0], other[0]), max(one[1], other[1])
+
+    def result(self, state: tuple) -> int | None:
+        return None if state[0] is None else state[1] - state[0]
+
+
+def _count_up(n: int) -> Iterator[tuple[int]]:
+    for k in range(n):
+        yield (k,)
 
 
 def _events(spark: SparkSession, folder: str) -> DataFrame:
@@ -199,8 +249,63 @@ def top_n_null_key(spark, folder):
 
 @query("SELECT count(*) AS row_count FROM region")
 def sink_row_count(spark, folder):
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    return write_tsv(table(spark, folder, "region"), f"{shared}/region-{os.getpid()}.tsv")
+    return write_tsv(table(spark, folder, "region"), f"{shared_folder(spark).rstrip('/')}/region-{uuid.uuid4().hex}.tsv")
+
+
+@query("SELECT i AS id, CASE WHEN i % 7 <> 6 THEN i * i % 97 END AS value FROM range(1000) t(i)")
+def generator_custom(spark, folder):
+    return generated(spark, 1000, Squares, partitions=5)
+
+
+@query("SELECT n_nationkey, k FROM (SELECT n_nationkey, unnest(range(n_regionkey)) AS k FROM nation)")
+def table_function_rows(spark, folder):
+    nations = table(spark, folder, "nation")
+    return project(nations.lateralJoin(table_function(_count_up, "k long")(F.col("n_regionkey").outer())), "n_nationkey", "k")
+
+
+@query(f"SELECT event_id, {NULLED} AS v FROM events WHERE {NULLED} IS NULL OR {NULLED} > 3")
+def filter_null_accepting(spark, folder):
+    test = null_aware(lambda x: x.isna() | (x > 3))
+    return project(filter_rows(_events(spark, folder), test("v")), "event_id", "v")
+
+
+@query("SELECT event_type, max(event_id) - min(event_id) AS span FROM events GROUP BY event_type")
+def agg_custom(spark, folder):
+    return accumulate(table(spark, folder, "events"), "event_type", ["event_id"], Span(), "long", "span")
+
+
+@query("SELECT event_type, max(event_id) - min(event_id) AS span FROM events GROUP BY event_type")
+def agg_custom_whole(spark, folder):
+    span = custom(lambda x: int(x.max() - x.min()), "long")
+    return group_aggregate(table(spark, folder, "events"), "event_type", span=span("event_id"))
+
+
+@query("SELECT event_id, event_id + user_id AS total FROM events")
+def project_add(spark, folder):
+    return project(table(spark, folder, "events"), "event_id", total=add("event_id", "user_id"))
+
+
+@query("SELECT CAST(r_regionkey AS BIGINT) AS k FROM region")
+def rows_drained(spark, folder):
+    return values(spark, to_rows(project(table(spark, folder, "region"), k=F.col("r_regionkey").cast("long"))), ["k"])
+
+
+@query("SELECT k, count(*) AS n FROM (SELECT event_id % 3 AS k FROM (SELECT * FROM events WHERE event_id > 5 ORDER BY event_id LIMIT 100)) GROUP BY k")
+def chained_operators(spark, folder):
+    return chain(
+        table(spark, folder, "events"),
+        lambda df: filter_rows(df, F.col("event_id") > 5),
+        lambda df: limit_rows(df, 100, "event_id"),
+        lambda df: project(df, k=F.col("event_id") % 3),
+        lambda df: group_aggregate(df, "k", n=count_all()),
+    )
+
+
+@query("""
+    SELECT dense_rank() OVER (ORDER BY f, event_type) - 1 AS group_id, event_id, event_type
+    FROM (SELECT event_id, event_type, min(ts) OVER (PARTITION BY event_type) AS f FROM events)""")
+def group_id_by_time(spark, folder):
+    return project(with_group_id(table(spark, folder, "events"), "event_type", "ts"), "group_id", "event_id", "event_type")
 
 
 @query("SELECT min(z) AS least, max(z) AS most, CAST(coalesce(sum(z), 0) AS BIGINT) AS total, count(*) AS n FROM (SELECT o_custkey * 2 AS z FROM orders WHERE o_orderkey < 20 OR o_orderkey > 40 ORDER BY o_orderkey LIMIT 5)")

@@ -7,8 +7,9 @@ from pyspark.sql.types import DoubleType
 
 from lamella.functions.aggregates import count_all, count_column, custom, first_value, max_value, min_value, sum_f64, sum_i64
 from lamella.functions.scalar import add, bucket, int_div, multiply, negate, null_rejecting, vectorized
-from lamella.operators.relational import aggregate, cross, filter_rows, group_aggregate, limit_rows, project, theta, top_n, with_group_id
-from lamella.operators.sinks import to_rows, write_tsv
+from lamella.operators.accumulators import accumulate
+from lamella.operators.relational import aggregate, chain, cross, filter_rows, group_aggregate, limit_rows, project, theta, top_n, with_group_id
+from lamella.operators.sinks import read_tsv, to_rows, write_tsv
 from lamella.sources.tables import Constant, Counting, live_rows, sequence, values
 from lamella.streaming.pages import arriving, drain, running_aggregate
 
@@ -192,3 +193,99 @@ def test_plans(spark):
     assert "PushedFilters: [IsNotNull(o_orderkey), IsNotNull(o_custkey), GreaterThan(o_orderkey,5), LessThan(o_custkey,9)]" in plan
     assert "ReadSchema: struct<o_orderkey:bigint,o_custkey:bigint>" in plan
     assert "TakeOrderedAndProject" in top_n(orders, 3, "o_orderkey", "o_custkey")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tsv_reads_back(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a\tb\nc\\d\r", 0.5), (None, None, None), (3, "null", 2.0), (4, "", -1.0), (5, "\\=null", 0.0), (6, "\\t\"q\"", 1.0)], "`a.b` long, s string, d double")
+    assert to_rows(write_tsv(df, str(tmp_path / "t"))) == [(6,)]
+    assert sorted(to_rows(read_tsv(spark, str(tmp_path / "t"), df.schema)), key=repr) == sorted(to_rows(df), key=repr)
+
+
+def test_group_ids_by_any_order_and_among_any_names(spark):
+    rows = [(k % 7, f"{(k * 37) % 100:03d}", k) for k in range(100)]
+    df = spark.createDataFrame(rows, "k long, at string, group_id long").withColumnsRenamed({}).selectExpr("k", "at", "group_id", "k AS `a.b`", "at AS row", "k AS key", "k AS __key", "k AS of").repartition(5)
+    out = with_group_id(df, "k", "at")
+    assert out.columns == ["group_id", "k", "at", "a.b", "row", "key", "__key", "of"]
+    first = {}
+    for k, at, _ in sorted(rows, key=lambda r: r[1]):
+        first.setdefault(k, len(first))
+    assert {(r.group_id, r.k) for r in out.collect()} == {(v, k) for k, v in first.items()} and out.count() == 100
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SinglePartition") <= plan.count("Window [sum(n")  # only one row a range meets in a task
+    ties = spark.createDataFrame([(3, 1.5), (1, 1.5), (2, 0.5)], "k long, at double")
+    assert sorted(to_rows(with_group_id(ties, "k", "at").select("k", "group_id"))) == [(1, 1), (2, 0), (3, 2)]
+
+
+def test_generators_skip_to_their_rows(spark):
+    from lamella.plans.catalogue import Squares
+    from lamella.sources.generators import generated
+
+    expected = [(k, None if k % 7 == 6 else k * k % 97) for k in range(50)]
+    for partitions in (1, 4, 50):
+        assert sorted(to_rows(generated(spark, 50, Squares, partitions=partitions))) == expected
+    assert to_rows(generated(spark, 0, Squares)) == []
+
+
+def test_table_functions_on_their_own(spark):
+    from lamella.sources.generators import table_function
+
+    pairs = table_function(lambda n: ((k, k * k) for k in range(n)), "k int, square int")
+    assert sorted(to_rows(pairs(F.lit(3)))) == [(0, 0), (1, 1), (2, 4)]
+
+
+def test_predicates_that_see_nulls(spark):
+    from lamella.functions.scalar import null_aware
+
+    df = spark.createDataFrame([(1,), (None,), (5,)], "x long")
+    assert sorted(to_rows(filter_rows(df, null_aware(lambda x: x.isna() | (x > 3))("x"))), key=repr) == [(5,), (None,)]
+
+
+def test_accumulators_merge(spark):
+    class Longest:
+        """The longest string and how many there are; states merge."""
+
+        def zero(self):
+            return None, 0
+
+        def add(self, state, rows):
+            for x in rows.column(0).to_pylist():
+                state = self.merge(state, (x, 1))
+            return state
+
+        def merge(self, one, other):
+            found = sorted((s for s in (one[0], other[0]) if s is not None), key=lambda s: (-len(s), s))
+            return (found[0] if found else None), one[1] + other[1]
+
+        def result(self, state):
+            return f"{state[0]}/{state[1]}"
+
+    rows = [(k % 3 or None, "b" * (k % 5), k) for k in range(60)]
+    df = spark.createDataFrame(rows, "`k.1` long, s string, k0 long").repartition(6).withColumnRenamed("k.1", "k")
+    found = dict(to_rows(accumulate(df, "k", ["s"], Longest(), "string")))
+    assert found == {None: "bbbb/20", 1: "bbbb/20", 2: "bbbb/20"}
+    assert to_rows(accumulate(df.where("k0 < 0"), ["k", "k0"], ["s"], Longest(), "string")) == []
+    assert len(to_rows(accumulate(df, ["k", "k0"], ["s"], Longest(), "string"))) == 60
+
+
+def test_operators_in_a_chain(spark):
+    out = chain(sequence(spark, 50, x=Counting(0)), lambda df: filter_rows(df, F.col("x") % 2 == 0), lambda df: limit_rows(df, 3, "x"))
+    assert to_rows(out) == [(0,), (2,), (4,)]
+
+
+def test_entry_without_the_corpus_operators(monkeypatch):
+    """Whatever module of theirs is missing, the other queries are there."""
+    import importlib
+    import sys
+    import warnings
+
+    import __spark_entry__
+
+    for name in [m for m in sys.modules if m.startswith(("lamella.llm", "corpus_pipeline"))]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setitem(sys.modules, "ahocorasick", None)
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        found = importlib.reload(__spark_entry__)
+    assert "complex_pipeline" in found.queries() and not [q for q in found.queries() if q.startswith("op")]
+    monkeypatch.undo()
+    importlib.reload(__spark_entry__)
