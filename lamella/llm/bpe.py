@@ -156,7 +156,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "t
         one = codec(raw.value)
         return texts.fillna("").map(one.encode)
 
-    return docs.withColumn(ids_col, ids(F.col(text_col)))
+    return docs.withColumn(ids_col, ids(named(text_col)))
 
 
 def decode(encoded: DataFrame, path: str, ids_col: str = "token_ids", text_col: str = "decoded") -> DataFrame:
@@ -168,7 +168,7 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "token_ids", text_col:
         one = codec(raw.value)
         return ids.map(lambda x: one.decode([] if x is None else x))
 
-    return encoded.withColumn(text_col, texts(F.col(ids_col)))
+    return encoded.withColumn(text_col, texts(named(ids_col)))
 
 
 DIGEST = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"

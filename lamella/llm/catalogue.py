@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,16 +30,12 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_equal", "n_near", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
-#: Where the published tokenizers lie; a parameter of whoever runs the queries.
-TOKENIZERS = os.environ.get("TOKENIZERS", "/opt/tokenizers")
-
-
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.digests(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
+    return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, percent=80)
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, percent=80).drop("text_key")
 
 
 def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,7 +119,7 @@ SQL: dict[str, str] = {
         WINDOW g AS (PARTITION BY t)""",
     "op9_mixing": r"""
         WITH docs AS (
-            SELECT doc_id, source, md5(coalesce(doc_id::VARCHAR, '')) AS key,
+            SELECT doc_id, source, md5(coalesce(doc_id::VARCHAR, text, '')) AS key,
                    len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size
             FROM documents),
         sources AS (

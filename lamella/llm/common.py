@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lamella.sources.shared import shared_folder
+
 #: The word pattern of the contracts: anything between ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -41,9 +43,9 @@ def named(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def packed(docs: DataFrame, **beside: Column) -> DataFrame:
+def packed(docs: DataFrame, /, without: str | None = None, **beside: Column) -> DataFrame:
     """The caller's rows in one column ``row`` with what an operator needs beside it, so that no name can clash."""
-    return docs.select(F.struct(*map(named, docs.columns)).alias("row"), *(c.alias(name) for name, c in beside.items()))
+    return docs.select(F.struct(*(named(c) for c in docs.columns if c != without)).alias("row"), *(c.alias(name) for name, c in beside.items()))
 
 
 def unpacked(columns: list[str], **instead: Column) -> list[Column]:
@@ -56,21 +58,6 @@ def text_key(text: Column) -> Column:
     return F.coalesce(F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long"), F.lit(-1).cast("long"))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    ``spark.checkpoint.dir`` of the session where it is set; else (local tests) one below the warehouse, which is then
-    also set as this context's checkpoint folder.
-    """
-    context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not folder:
-        folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/lamella-checkpoints"
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(folder)
-    return folder
-
-
 _scratch: list[str] = []
 
 

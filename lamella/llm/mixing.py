@@ -6,14 +6,14 @@ have been queued once, up to ``max_repeats`` times. All documents in order of fi
 the total budget, are the mix: at any finish time each source has had the same share of its target.
 
 Nothing sorts a whole source or the whole corpus in one task. Cumulative sums come in two levels: the sums of
-``(source, bucket)``, 4096 buckets of the shuffle key at most, give each bucket its start, and windows run inside the
-buckets, so a hot source is dealt over the cluster. The global cut is found the same way: a histogram of finish times
+``(source, bucket)``, buckets being leading digits of the shuffle key, as many as the number of rows asks for, give each
+bucket its start, and windows run inside the buckets, so a hot source is dealt over the cluster. The global cut is found the same way: a histogram of finish times
 names the bin that the budget ends in, a second one the fine bin, and only the rows of that fine bin are sorted. The cut
 is then one boundary row that every document is compared with; no join or shuffle follows. The only windows without a
 partition are over one row a source and one row a bin.
 
-Defined cases: a null text has size 0; a null source is a source of its own, last in order; a null id is shuffled as the
-empty string; repeated rows each take part with their own place; sources of size 0 get target 0 and nothing is taken
+Defined cases: a null text has size 0; a null source is a source of its own, last in order; a null id is shuffled by
+the text, so that rows without ids are dealt over the buckets; repeated rows each take part with their own place; sources of size 0 get target 0 and nothing is taken
 from them; an empty table gives no rows; columns with other names are ignored.
 """
 
@@ -24,10 +24,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lamella.llm.common import WORD, stored
+from lamella.llm.common import WORD, named, packed, stored, unpacked
 
-#: Hexadecimal digits of the shuffle key that make a bucket.
-BUCKET_DIGITS = 3
+#: Rows of a bucket, about.
+BUCKET_ROWS = 1 << 14
 #: Bins a unit of finish time, and fine bins a bin. All that the budget can reach ends at time 1, or just after.
 BINS = 4096
 
@@ -61,6 +61,11 @@ def targets(sizes: DataFrame, weights: Sequence[float], max_repeats: int) -> Dat
     )
 
 
+def bucket_digits(rows: int) -> int:
+    """Hexadecimal digits of the shuffle key that make a bucket: as many as leave BUCKET_ROWS rows or fewer in one."""
+    return max(1, -(-(max(1, -(-rows // BUCKET_ROWS)) - 1).bit_length() // 4))
+
+
 def _cut(slots: DataFrame, budget: int, value: Column, bins: int) -> tuple[int, int] | None:
     """The bin of ``value`` that the budget ends in and the tokens before it; None if all fits."""
     sums = slots.groupBy(value.alias("bin")).agg(F.sum("size").alias("tokens"))
@@ -81,12 +86,12 @@ def repeat(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
         return F.concat_ws("/", size.cast("string"), F.coalesce(doc_id.cast("string"), F.lit("-")), F.coalesce(F.concat(F.lit("="), source), F.lit("")))
 
     decided = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options)
-    decided = decided.groupBy(key(F.col("doc_id"), F.col("source"), F.col("size")).alias("__key")).agg(F.sum("copies").alias("__copies"), F.count(F.lit(1)).alias("__rows"))
-    decided = stored(decided.where("__copies > 0"), "mix-copies")
-    joined = docs.withColumn("__key", key(docs[id_col].cast("long"), docs[source_col], word_count(docs[text_col]))).join(decided, "__key")
-    place = F.row_number().over(Window.partitionBy("__key").orderBy(text_col))
-    joined = joined.withColumn("__own", F.floor(F.col("__copies") / F.col("__rows")) + (place <= F.col("__copies") % F.col("__rows")).cast("long"))
-    return joined.where("__own > 0").withColumn("__turn", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__own")))).select(*docs.columns)
+    decided = decided.groupBy(key(F.col("doc_id"), F.col("source"), F.col("size")).alias("key")).agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("alike"))
+    decided = stored(decided.where("copies > 0"), "mix-copies")
+    joined = packed(docs, key=key(named(id_col).cast("long"), named(source_col), word_count(named(text_col)))).join(decided, "key")
+    place = F.row_number().over(Window.partitionBy("key").orderBy(F.col("row").getField(text_col)))
+    joined = joined.withColumn("own", F.floor(F.col("copies") / F.col("alike")) + (place <= F.col("copies") % F.col("alike")).cast("long"))
+    return joined.where("own > 0").withColumn("turn", F.explode(F.sequence(F.lit(1).cast("long"), F.col("own")))).select(*unpacked(docs.columns))
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), max_repeats: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -95,9 +100,9 @@ def mix(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), max_repeats: int
     ``weights`` go to the sources in code point order, null last, repeating. ``copies`` is how often the mix has the
     document and ``taken`` the words of all of them. The order is the one of the MD5 of the id, so reruns agree.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
-    rows = rows.withColumn("key", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
-    rows = stored(rows.withColumn("bucket", F.substring("key", 1, BUCKET_DIGITS)), "mix-sizes")
+    key = F.md5(F.coalesce(named(id_col).cast("long").cast("string"), named(text_col), F.lit("")).cast("binary"))
+    rows = stored(docs.select(named(id_col).cast("long").alias("doc_id"), named(source_col).alias("source"), word_count(named(text_col)).alias("size"), key.alias("key")), "mix-sizes")
+    rows = rows.withColumn("bucket", F.substring("key", 1, bucket_digits(rows.count())))
 
     buckets = rows.groupBy("source", "bucket").agg(F.sum("size").alias("tokens"))
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)

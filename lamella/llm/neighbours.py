@@ -7,24 +7,30 @@ A query's window on a line is centred on the query's own place. All windows star
 windows of ``COLLISIONS`` of the lines or more is a candidate, and its distance is computed from the original vectors in double
 precision. The search ends when the k-th best distance is so small against the window's radius that a nearer vector would
 have collided often enough by now, however many vectors that takes; on data without near neighbours it may be all of the
-block. This is set for a recall of 0.95 or more on vectors without structure.
+block. This is set for a recall of 0.95 or more on vectors without structure. An ``exact`` search goes on until the windows
+hold the whole block, so that every vector is verified.
 
-Vectors are dealt into blocks by their id, and queries into blocks of ``QUERIES``; a task searches one block for one
-block of queries and hands on k rows a query, so no group grows with the data. The number of blocks comes from two
-counts. The best k of all blocks are ranked per query.
+Vectors are dealt into blocks by their id, each once, and the queries are repeated for every block. A task first gets a
+block's vectors, sorts its index once, and then takes the queries as they come, in batches, handing on k rows a query; what it
+holds is one block, however many queries there are. The best k of all blocks are ranked per query.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite components take no part, nor do rows
-without an id; of rows that repeat an id the smallest vector counts; vectors of different lengths are never compared;
+without an id; of rows that repeat an id the smallest vector counts, whatever its length; vectors of different lengths
+are never compared;
 with fewer candidates than k all are returned; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lamella.llm.common import named
+
 #: Lines at least (vectors of more components get one each), the first radius as a share of a line's middle half, and the windows' growth.
 PROJECTIONS, FIRST, GROWTH = 64, 0.3, 1.25
 #: The share of the lines that a candidate must have met.
@@ -32,8 +38,8 @@ COLLISIONS = 0.5
 #: Ends the search: this many standard deviations of a k-th best neighbour's place on a line, as the radius. A nearer
 #: vector is within two of them on 95 % of the lines, twice what COLLISIONS asks for.
 ENOUGH = 2.0
-#: Rows and queries of a block.
-BLOCK, QUERIES = 16384, 4096
+#: Rows of a block.
+BLOCK = 16384
 
 FOUND = "query_id long, vec_id long, score double"
 
@@ -58,8 +64,8 @@ class Index:
         spread = np.quantile(self.places, 0.75, axis=1) - np.quantile(self.places, 0.25, axis=1)
         self.first = float(np.median(spread)) * FIRST
 
-    def search(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and distances of the k nearest found, nearest first."""
+    def search(self, query_id: int, query: np.ndarray, k: int, exact: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and distances of the k nearest found, nearest first; of all, if the search is to be exact."""
         n = len(self.ids)
         centre = self.lines @ query
         met, enough = np.zeros(n, np.uint16), COLLISIONS * len(self.lines)
@@ -87,7 +93,7 @@ class Index:
                 best_ids, best = np.concatenate((best_ids, self.ids[new])), np.concatenate((best, distance))
                 first = np.lexsort((best_ids, best))[:k]
                 best_ids, best = best_ids[first], best[first]
-            if len(best) >= k and best[-1] * ENOUGH <= radius * np.sqrt(len(query)):
+            if not exact and len(best) >= k and best[-1] * ENOUGH <= radius * np.sqrt(len(query)):
                 break
             if radius >= everything:
                 break
@@ -101,39 +107,72 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & ~odd & F.exists(vector, lambda x: x != 0)
 
 
-def _matrix(column: pa.ChunkedArray) -> np.ndarray:
-    flat = column.combine_chunks()
-    return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(flat), -1)
-
-
-def nearest(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
+
+def indexes(ids: np.ndarray, vectors: list[pa.Array]) -> dict[int, Index]:
+    """An index for each length of the vectors of a block; of an id that repeats, the smallest vector counts."""
+    column = pa.concat_arrays(vectors)
+    dims = column.value_lengths().to_numpy()
+    again = np.isin(ids, np.sort(ids)[1:][np.diff(np.sort(ids)) == 0])
+    keep = ~again
+    best: dict[int, int] = {}
+    for k in np.flatnonzero(again).tolist():
+        if ids[k] not in best or column[k].as_py() < column[best[ids[k]]].as_py():
+            best[ids[k]] = k
+    keep[list(best.values())] = True
+    out = {}
+    for dim in np.unique(dims[keep]).tolist():
+        own = np.flatnonzero(keep & (dims == dim))
+        own = own[np.argsort(ids[own])]
+        out[dim] = Index(ids[own], _matrix(column.take(pa.array(own))))
+    return out
+
+
+def searching(k: int, exact: bool):
+    """For rows sorted by block, vectors before queries: the nearest of each query in the block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, ids, vectors = None, [], []
+        index: dict[int, Index] | None = None
+        for batch in batches:
+            of, query, number = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("block", "query", "vec_id"))
+            out = []
+            # Runs of one block, of vectors or of queries.
+            bounds = np.flatnonzero(np.concatenate(([True], (of[1:] != of[:-1]) | (query[1:] != query[:-1]), [True])))
+            for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                if of[x] != block:
+                    block, ids, vectors, index = of[x], [], [], None
+                own = batch.column("vector").slice(x, y - x)
+                if not query[x]:
+                    ids.append(number[x:y])
+                    vectors.append(own)
+                elif ids:
+                    if index is None:
+                        index = indexes(np.concatenate(ids), vectors)
+                    for query_id, vector in zip(number[x:y].tolist(), own, strict=True):
+                        if len(vector) in index:
+                            found, distance = index[len(vector)].search(query_id, np.array(vector.as_py(), np.float64), k, exact)
+                            out.append((np.full(len(found), query_id), found, distance))
+            if out:
+                yield pa.record_batch([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["query_id", "vec_id", "score"])
+
+    return run
+
+
+def nearest(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", exact: bool = False, block: int = BLOCK) -> DataFrame:
     """``query_id, rank, vec_id, score``: for each row that ``is_query`` accepts, the k nearest other ids found.
 
     ``score`` is the Euclidean distance; nearest first, ties to the smaller id.
     """
-    rows = vectors.where(usable(F.col(vector_col)) & F.col(id_col).isNotNull())
-    queries = rows.where(is_query).groupBy(F.col(id_col).cast("long").alias("query_id")).agg(F.min(vector_col).alias("vector"))
-    rows = rows.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("vector"))
-    n_blocks = max(1, -(-rows.count() // BLOCK))
-    n_queries = max(1, -(-queries.count() // QUERIES))
-    # Each block of vectors meets each block of queries.
-    rows = rows.select(F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(n_queries - 1))).alias("part"), F.size("vector").alias("dim"), "vec_id", "vector")
-    queries = queries.select(F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"), F.pmod(F.xxhash64("query_id"), F.lit(n_queries)).cast("int").alias("part"), F.size("vector").alias("dim"), "query_id", "vector")
-
-    def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = []
-        if left.num_rows and right.num_rows:
-            ids, matrix = left.column("vec_id").to_numpy(), _matrix(left.column("vector"))
-            order = np.lexsort((*matrix.T[::-1], ids))
-            order = order[np.concatenate(([True], np.diff(ids[order]) != 0))]
-            index = Index(ids[order], matrix[order])
-            for query_id, query in zip(right.column("query_id").to_numpy(), _matrix(right.column("vector")), strict=True):
-                found, distance = index.search(query_id, query, k)
-                out.append((np.full(len(found), query_id), found, distance))
-        parts = [np.concatenate(x) if out else np.empty(0) for x in (zip(*out, strict=True) if out else [()] * 3)]
-        return pa.table([pa.array(parts[0].astype(np.int64)), pa.array(parts[1].astype(np.int64)), pa.array(parts[2].astype(np.float64))], ["query_id", "vec_id", "score"])
-
-    keys = ["block", "part", "dim"]
-    found = rows.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInArrow(search, FOUND)
+    rows = vectors.where(usable(named(vector_col)) & named(id_col).isNotNull())
+    queries = rows.where(is_query).groupBy(named(id_col).cast("long").alias("vec_id")).agg(F.min(named(vector_col)).alias("vector"))
+    rows = rows.select(named(id_col).cast("long").alias("vec_id"), named(vector_col).alias("vector"))
+    blocks = max(1, -(-rows.count() // block))
+    rows = rows.select(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"), F.lit(False).alias("query"), "vec_id", "vector")
+    queries = queries.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(True).alias("query"), "vec_id", "vector")
+    dealt = rows.unionByName(queries).repartitionById(blocks, F.col("block")).sortWithinPartitions("block", "query")
+    found = dealt.mapInArrow(searching(k, exact), FOUND)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -1,7 +1,7 @@
 """WARC archives as a Spark data source, and the archiving of pages with revisit records for equal payloads.
 
-``format("warc")`` reads and writes record-compressed archives (``.warc.gz``, one gzip member a record) and reads plain
-``.warc`` as well. Planning lists the files and packs them into partitions by size; a file is read by one task, and the
+``format("warc")`` writes record-compressed archives (``.warc.gz``, one gzip member a record) and reads them, archives whose
+gzip members hold several records or parts of one, and plain ``.warc``. Planning lists the files and packs them into partitions by size; a file is read by one task, and the
 writer starts a new file beyond ``max_file_bytes``. Predicates on the header columns are pushed down: the reader parses a
 record's headers first, and a record that they exclude is neither decoded further nor, where its member states its
 length in the "sl" extra field (as this writer's do), read. Option ``payload=false`` leaves out all payloads that way.
@@ -11,7 +11,8 @@ that are repeated or lost leave nothing that a reader sees. Both sides open file
 path's scheme, and need no folder of their own.
 
 Defined cases: a null payload is empty; null headers are left out and read as null; line ends in header values are
-percent-encoded; an archive without records gives no rows; of repeated pages (same id, same payload) the first is the
+percent-encoded; an archive without records gives no rows; one that ends within a record, or has a record whose length is
+missing or no number, is an error; of repeated pages (same id, same payload) the first is the
 response and the others revisit it; a null page id sorts above all others.
 """
 
@@ -132,19 +133,16 @@ def _finish(out: dict, block: bytes) -> dict:
     return out
 
 
-def _until_headers(pull) -> tuple[bytes, int]:
-    """Pulls pieces until the headers are complete; all that was pulled, and where the block starts."""
-    got = bytearray()
-    while (end := got.find(b"\r\n\r\n")) < 0:
-        piece = pull()
-        if not piece:
-            return bytes(got), len(got)
-        got += piece
-    return bytes(got), end + 4
+def _length(headers: dict[str, str]) -> int:
+    """The block's length as the headers have it."""
+    value = headers.get("content-length", "")
+    if not (value.isascii() and value.isdigit()):
+        raise ValueError(f"a record's length is {value!r}")
+    return int(value)
 
 
 def _plain_records(f, keep, payloads: bool) -> Iterator[dict]:
-    """Records of an uncompressed archive."""
+    """Records of a file or a stream of records one after another."""
     while True:
         lines = []
         while (line := f.readline()) in (b"\r\n", b"\n"):
@@ -154,20 +152,59 @@ def _plain_records(f, keep, payloads: bool) -> Iterator[dict]:
             line = f.readline()
         if not lines:
             return
-        headers = _headers(b"".join(lines))
-        length = int(headers.get("content-length", 0))
-        out = _columns(headers)
-        if not keep(out):
-            f.seek(length, io.SEEK_CUR)
-        elif payloads:
-            yield _finish(out, f.read(length))
+        if not line:
+            raise EOFError("the archive ends within a record")
+        headers = _headers(b"".join(x.rstrip(b"\r\n") + b"\r\n" for x in lines))
+        length, out = _length(headers), _columns(headers)
+        if payloads and keep(out):
+            block = f.read(length)
+            if len(block) < length:
+                raise EOFError("the archive ends within a record")
+            yield _finish(out, block)
         else:
-            f.seek(length, io.SEEK_CUR)
-            yield out | {"payload_bytes": None, "payload": None}
+            left = length
+            while left and (piece := f.read(min(left, 1 << 20))):
+                left -= len(piece)
+            if left:
+                raise EOFError("the archive ends within a record")
+            if keep(out):
+                yield out | {"payload_bytes": None, "payload": None}
+
+
+class Inflated(io.RawIOBase):
+    """What the gzip members of a file hold, one after another, up to its end; an incomplete member is an error."""
+
+    def __init__(self, f):
+        self.f, self.inflate, self.raw = f, None, b""
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, target) -> int:
+        while True:
+            if self.inflate is None or self.inflate.eof:
+                self.raw = self.inflate.unused_data if self.inflate is not None else self.raw
+                self.raw = self.raw or self.f.read(1 << 16)
+                if not self.raw:
+                    return 0
+                self.inflate = zlib.decompressobj(31)
+            elif not self.raw and not self.inflate.unconsumed_tail:
+                self.raw = self.f.read(1 << 16)
+                if not self.raw:
+                    raise EOFError("the archive ends within a record")
+            out = self.inflate.decompress(self.inflate.unconsumed_tail + self.raw if not self.inflate.eof else self.raw, len(target))
+            self.raw = b""
+            if out:
+                target[: len(out)] = out
+                return len(out)
 
 
 def _gzip_records(f, keep, payloads: bool) -> Iterator[dict]:
-    """Records of an archive with one gzip member a record."""
+    """Records of a compressed archive.
+
+    A member that states its length holds one record, of which only the headers are inflated where the rest isn't wanted,
+    and the rest isn't read. From the first other member on the file is a stream, whatever its members hold of records.
+    """
     while True:
         at = f.tell()
         start = f.read(24)
@@ -175,44 +212,29 @@ def _gzip_records(f, keep, payloads: bool) -> Iterator[dict]:
             return
         if start[:2] != b"\x1f\x8b":
             raise ValueError(f"no gzip member at byte {at}")
-        length = struct.unpack("<I", start[16:20])[0] if start[3] & 4 and start[12:16] == b"sl\x08\0" else None
-        inflate = zlib.decompressobj(31)
-        pending = [start]
-
-        def pull(inflate=inflate, pending=pending, end=None if length is None else at + length) -> bytes:
-            while not inflate.eof:
-                raw = pending.pop() if pending else f.read(4096 if end is None else min(4096, end - f.tell()))
+        if len(start) < 24 or not start[3] & 4 or start[12:16] != b"sl\x08\0":
+            f.seek(at)
+            yield from _plain_records(io.BufferedReader(Inflated(f), 1 << 16), keep, payloads)
+            return
+        end = at + struct.unpack("<I", start[16:20])[0]
+        inflate, got, raw = zlib.decompressobj(31), bytearray(), start
+        while (split := got.find(b"\r\n\r\n")) < 0 and not inflate.eof:
+            got += inflate.decompress(raw)
+            if got.find(b"\r\n\r\n") < 0 and not inflate.eof:
+                raw = f.read(min(4096, end - f.tell()))
                 if not raw:
                     raise EOFError("the archive ends within a record")
-                if out := inflate.decompress(raw):
-                    return out
-            return b""
-
-        got, block_at = _until_headers(pull)
-        headers = _headers(got[: max(0, block_at - 4)])
-        out, size = _columns(headers), int(headers.get("content-length", 0))
-        wanted = keep(out)
-        if wanted and payloads:
-            rest = [got[block_at:]]
-            have = len(rest[0])
-            if length is not None and have < size:
-                raw = f.read(at + length - f.tell())
-                rest.append(inflate.decompress(raw))
+        headers = _headers(bytes(got[: max(0, split)]))
+        out, length = _columns(headers), _length(headers)
+        if keep(out):
+            if payloads:
+                got += inflate.decompress(f.read(end - f.tell()))
+                if not inflate.eof:
+                    raise EOFError("the archive ends within a record")
+                yield _finish(out, bytes(got[split + 4 : split + 4 + length]))
             else:
-                while have < size and (piece := pull()):
-                    rest.append(piece)
-                    have += len(piece)
-            while not inflate.eof:  # the member's checksum
-                pull()
-            yield _finish(out, b"".join(rest)[:size])
-        elif wanted:
-            yield out | {"payload_bytes": None, "payload": None}
-        if length is not None:
-            f.seek(at + length)
-        else:
-            while pull():
-                pass
-            f.seek(f.tell() - len(inflate.unused_data))
+                yield out | {"payload_bytes": None, "payload": None}
+        f.seek(end)
 
 
 def read_records(f, compressed: bool, keep=lambda columns: True, payloads: bool = True) -> Iterator[dict]:
@@ -329,12 +351,13 @@ class WarcWriter(DataSourceArrowWriter):
         files, base = store(self.path)
         files.create_dir(base, recursive=True)
         made = [p for m in messages if m is not None for p in m.paths]
-        if self.overwrite:
-            for x in files.get_file_info(arrow_fs.FileSelector(base, recursive=True)):
-                if x.type == arrow_fs.FileType.File and re.search(r"\.warc(\.gz)?$", x.path):
-                    files.delete_file(x.path)
+        before = files.get_file_info(arrow_fs.FileSelector(base, recursive=True)) if self.overwrite else []
+        # New archives are in place before old ones go, so what fails between leaves both, never neither.
         for path in made:
             files.move(path + self.TEMPORARY, path)
+        for x in before:
+            if x.type == arrow_fs.FileType.File and re.search(r"\.warc(\.gz)?$", x.path):
+                files.delete_file(x.path)
         self._sweep(files, base)
 
     def abort(self, messages) -> None:

@@ -36,7 +36,7 @@ def by_hand(rows, weights=(1, 2, 3), most=3):
     goal = targets_by_hand(sizes, weights, most) if rows else {}
     queue = []
     for source in sizes:
-        own = sorted((hashlib.md5(b"" if i is None else str(i).encode()).hexdigest(), size_of(t), k) for k, (i, t, s) in enumerate(rows) if s == source)
+        own = sorted((hashlib.md5((str(i) if i is not None else t or "").encode()).hexdigest(), size_of(t), k) for k, (i, t, s) in enumerate(rows) if s == source)
         for turn in range(most):
             at = 0
             for place, (key, size, k) in enumerate(own):

@@ -56,8 +56,8 @@ def test_as_all_pairs_would_have_it(spark):
     assert all(r.kept == (r.doc_id == r.component_id) for r in out)
 
 
-def test_a_large_group_in_chunks(spark, monkeypatch):
-    monkeypatch.setattr(near_dedup, "CHUNK", 8)
+def test_a_large_group_in_chunks(spark):
+    """Three groups whose documents share passages, so that buckets hold several components, and rows that share ids."""
     chance = random.Random(4)
     base = [f"w{k}" for k in range(60)]
     rows = []
@@ -65,14 +65,16 @@ def test_a_large_group_in_chunks(spark, monkeypatch):
         w = list(base)
         for _ in range(chance.randint(0, 4)):
             w[chance.randrange(60)] = f"x{chance.randrange(10**6)}"
-        rows.append((k, " ".join(w)))
-    out = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=4).collect()
+        if k % 3:
+            w[42:] = [f"y{k % 3}{i}" for i in range(18)]
+        rows.append((k // 2 if k > 100 else k, " ".join(w)))
+    out = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=4, chunk=8).collect()
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in out), key=repr) == by_hand(rows, 4, 80)
 
 
 def test_nothing(spark):
     assert near_dedup.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
-    assert [tuple(r) for r in near_dedup.near_duplicates(spark.createDataFrame([(3, None)], "doc_id long, text string")).collect()] == [(3, 0, 3, True)]
+    assert [tuple(r) for r in near_dedup.near_duplicates(spark.createDataFrame([(3, None)], "doc_id long, text string")).collect()] == [(3, 0, 3, True, -1)]
 
 
 def test_signatures_estimate_similarity():

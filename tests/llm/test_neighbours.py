@@ -49,16 +49,40 @@ def recall(out, true):
     return sum(d <= reach[q] + 1e-9 for q, _, _, d in out) / len(true)
 
 
-def test_recall_without_structure_and_in_many_blocks(spark, monkeypatch):
+def test_recall_without_structure_and_in_many_blocks(spark):
     chance = np.random.default_rng(3)
     for dim, blocks in ((64, 4096), (64, 300), (5, 4096), (150, 4096)):
-        monkeypatch.setattr(neighbours, "BLOCK", blocks)
-        monkeypatch.setattr(neighbours, "QUERIES", 7)
         rows = [(k, [float(x) for x in v]) for k, v in enumerate(chance.standard_normal((1500, dim)).astype(np.float32))]
-        out, true = found(neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 100 == 0)), by_hand(rows, 10)
+        out, true = found(neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 100 == 0, block=blocks)), by_hand(rows, 10)
         assert len(out) == len(true) and recall(out, true) >= 0.95, (dim, blocks)
 
 
+def test_exact_search_is_brute_force(spark):
+    """With ties, copies, several lengths, and ids that repeat with vectors of other lengths, in one block and in many."""
+    chance = np.random.default_rng(6)
+    rows = [(k, [float(x) for x in chance.integers(-3, 4, 3 + k % 2)]) for k in range(700)] + [(k, [9.0]) for k in range(100, 130)] + [(k, [0.5, 0.5]) for k in range(0, 30, 10)]
+    least = {}
+    for i, v in rows:
+        if any(v) and (i not in least or v < least[i]):
+            least[i] = v
+    for block in (100, 10**6):
+        out = found(neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, exact=True, block=block))
+        assert same(out, by_hand(list(least.items()), 10, lambda i: i % 20 == 0))
+
+
+def test_recall_on_the_test_vectors(spark):
+    vectors = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = [(r.vec_id, r.embedding) for r in vectors.collect()]
+    matrix, out = np.array([v for _, v in rows], np.float64), found(neighbours.nearest(vectors, F.col("vec_id") % 100 == 0))
+    true = []
+    for k, (i, v) in enumerate(rows):
+        if i % 100 == 0:
+            distance = np.sqrt(((matrix - matrix[k]) ** 2).sum(axis=1))
+            distance[k] = np.inf
+            true += [(i, r, None, d) for r, d in enumerate(np.sort(distance)[:10], 1)]
+    assert len(out) == len(true) and recall(out, true) >= 0.95
+
+
 def test_one_vector_that_is_very_common(spark):
     chance = np.random.default_rng(4)
     common = [float(x) for x in chance.standard_normal(16).astype(np.float32)]

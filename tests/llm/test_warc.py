@@ -75,6 +75,49 @@ def test_other_writers_files_read_the_same():
     assert one == two == three and [r["payload_bytes"] for r in one] == [100000 + 76800 * k for k in range(4)]
 
 
+def test_members_may_hold_any_number_of_records():
+    """A file compressed as a whole, two records a member, records that go on in the next member, and all kinds in one file."""
+    plain, own = b"".join(records()), [warc.member(r) for r in records()]
+    expected = list(warc.read_records(io.BytesIO(plain), False))
+    whole = gzip.compress(plain)
+    pairs = b"".join(gzip.compress(b"".join(records()[k : k + 2])) for k in (0, 2))
+    cut = b"".join(gzip.compress(plain[a : a + 30000]) for a in range(0, len(plain), 30000))
+    mixed = own[0] + gzip.compress(b"".join(records()[1:3])) + own[3]
+    for data in (whole, pairs, cut, mixed):
+        assert list(warc.read_records(io.BytesIO(data), True)) == expected
+        some = warc.read_records(io.BytesIO(data), True, lambda c: c["target_uri"] in ("u1", "u3"))
+        assert [r["target_uri"] for r in some] == ["u1", "u3"]
+        assert [r["payload"] for r in warc.read_records(io.BytesIO(data), True, payloads=False)] == [None] * 4
+
+
+@pytest.mark.parametrize("compress", [lambda x: x, gzip.compress])
+def test_cut_streams_and_malformed_lengths_are_errors(compress):
+    plain = b"".join(records())
+    for data in (plain[: len(plain) - 70000], plain[:100], plain.replace(b"Content-Length: ", b"Content-Length: x"), plain.replace(b"Content-Length", b"Other")):
+        with pytest.raises((EOFError, ValueError)):
+            list(warc.read_records(io.BytesIO(compress(data)), compress is gzip.compress))
+    if compress is gzip.compress:
+        data = compress(plain)
+        with pytest.raises((EOFError, ValueError)):
+            list(warc.read_records(io.BytesIO(data[: len(data) // 2]), True))
+        bad = warc.member(records()[0].replace(b"Content-Length: ", b"Content-Length: -"))
+        with pytest.raises(ValueError):
+            list(warc.read_records(io.BytesIO(bad), True))
+
+
+def test_overwriting_puts_new_archives_in_place_first(spark, tmp_path):
+    path = str(tmp_path / "w")
+    pages = spark.createDataFrame(page_rows(), "page_id long, url string, html string")
+    warc.archive(pages, path)
+    old = {p.name for p in (tmp_path / "w").glob("*.warc.gz")}
+    warc.with_revisits(pages.where("page_id = 3")).write.format("warc").mode("overwrite").save(path)
+    assert spark.read.format("warc").load(path).count() == 1 and not old & {p.name for p in (tmp_path / "w").glob("*.warc.gz")}
+    writer = warc.WarcWriter({"path": path}, True)
+    with pytest.raises(OSError):
+        writer.commit([warc.Written([f"{path}/not-there.warc.gz"])])
+    assert spark.read.format("warc").load(path).count() == 1
+
+
 def test_unwanted_payloads_are_not_read():
     f = Counted(b"".join(warc.member(r) for r in records()))
     rows = list(warc.read_records(f, True, lambda c: c["target_uri"] == "u0"))
