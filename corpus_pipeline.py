@@ -12,12 +12,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lamella.llm import bpe, line_dedup, mixing, near_dedup, quality
-from lamella.llm.catalogue import TOKENIZERS
-from lamella.llm.common import scratch, stored, table, temporaries
+from lamella.llm.common import named, packed, scratch, stored, table, temporaries, text_key, unpacked
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,26 +30,33 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A document that had text and has only blank lines left goes.
     """
-    names = {c.lower(): c for c in docs.columns}
-    marked = docs.withColumn("__had", F.length(F.btrim(F.coalesce("text", F.lit("")), F.lit(" \t\r\n"))) > 0)
-    out = line_dedup.deduplicate(marked)
-    out = out.where(~F.col("__had") | (F.length(F.btrim("text", F.lit(" \t\r\n"))) > 0)).drop("__had")
-    if "n_chars" in names:
-        out = out.withColumn(names["n_chars"], F.when(F.col("text").isNotNull(), F.length("text").cast("long")).otherwise(F.col(names["n_chars"])))
-    return out.select(*docs.columns)
+    blank = lambda text: F.length(F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\r\n"))) == 0
+    # The text as it was stands beside the caller's row, which the operator carries along.
+    rows = line_dedup.deduplicate(packed(docs, "text", doc_id=named("doc_id"), text=named("text"), had=~blank(named("text"))))
+    rows = rows.where(~F.col("had") | ~blank(F.col("text")))
+    instead = {"text": F.col("text")}
+    for name in docs.columns:
+        if name.lower() == "n_chars":
+            instead[name] = F.when(F.col("text").isNotNull(), F.length("text").cast("long")).otherwise(F.col("row").getField(name))
+    return rows.select(*unpacked(docs.columns, **instead))
 
 
 def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 6: one document of each group of near-duplicates, the one of the smallest id; five-word shingles, 0.8.
 
-    Rows that repeat the id of a document that stays are one document, and one of them stays.
+    Rows that repeat id and text are one document; rows of one id with other texts are documents of their own, and where
+    several of them are near-duplicates the first by the text's key stays.
     """
-    groups = near_dedup.near_duplicates(docs, shingle=5, percent=80)
-    gone = stored(groups.where("NOT kept").select(F.col("doc_id").alias("__gone")).distinct(), "near-copies")
-    out = docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
-    nulls = out.where("doc_id IS NULL")
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.length("text").desc_nulls_last(), "text"))
-    return out.where("doc_id IS NOT NULL").withColumn("__first", first).where("__first = 1").drop("__first").unionByName(nulls)
+    groups = stored(near_dedup.near_duplicates(docs, shingle=5, percent=80).where("doc_id IS NOT NULL"), "groups")
+    first = groups.where("kept AND n_shingles > 0").groupBy("component_id").agg(F.min("text_key").alias("first_key"))
+    rows = groups.join(first, "component_id", "left").withColumn("stays", F.col("kept") & ((F.col("n_shingles") == 0) | (F.col("text_key") == F.col("first_key"))))
+    rows = rows.groupBy("doc_id", "text_key").agg(F.min("stays").alias("stays"), F.count(F.lit(1)).alias("times"))
+    # Narrow tables, of the documents that go and of those that repeat; most documents are in neither.
+    marked = stored(rows.where("NOT stays OR times > 1").select(F.col("doc_id").alias("m_doc"), F.col("text_key").alias("m_key"), "stays"), "near-copies")
+    docs_ = packed(docs, doc=named("doc_id").cast("long"), text_key=text_key(named("text")))
+    same = (F.col("doc") == F.col("m_doc")) & (F.col("text_key") == F.col("m_key"))
+    repeated = docs_.join(marked.where("stays"), same, "left_semi").dropDuplicates(["doc", "text_key"])
+    return docs_.join(marked, same, "left_anti").unionByName(repeated).select(*unpacked(docs.columns))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,7 +66,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 5: the digests of each document's ids and of its text decoded again."""
-    return bpe.digests(docs, f"{TOKENIZERS}/byte_bpe_50k.json")
+    return bpe.digests(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
