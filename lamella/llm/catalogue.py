@@ -35,7 +35,7 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, percent=80).drop("text_key")
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, percent=80).drop("text_key", "component_key")
 
 
 def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,8 +14,8 @@
    outside of the smallest one's component are dealt into chunks of CHUNK classes or CHUNK_SHINGLES shingles, as are those
    inside, and each pair of chunks with one outside is a task's work of bounded size. Signatures are compared as before, a pair
    only in its first common band; classes without a partner drop out, and the sets of the others meet in the same chunk
-   pairs. Of pairs not connected yet intersections are counted, and the links that connect are handed on.
-6. Components of all links, by star contraction in DataFrame operations.
+   pairs. Of pairs not connected yet intersections are counted, and the components that links connect are handed on.
+6. Components of these links, by star contraction in DataFrame operations, as in 4.
 
 A shingle is the 64-bit hash of ``words.shingles``.
 
@@ -209,10 +209,11 @@ def connect(sets: list[np.ndarray], percent: int, labels: np.ndarray | None = No
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", margin: float = MARGIN, chunk: int = CHUNK) -> DataFrame:
-    """One row per row of ``docs``: ``doc_id, n_shingles, component_id, kept, text_key``.
+    """One row per row of ``docs``: ``doc_id, n_shingles, component_id, kept, text_key, component_key``.
 
     Documents are linked where 100 * common shingles >= ``percent`` * all shingles of both; the component is named by its
-    smallest id, whose document is kept. The text's key tells documents of one id apart.
+    smallest id, whose document is kept. The text's key tells documents of one id apart, and the component's key is that of
+    the document that it is named by.
     """
     sigs = stored(signatures(docs, shingle, id_col, text_col), "signatures")
     content = ["fp_a", "fp_b", "n"]
@@ -297,23 +298,24 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, bounds in groups(batches, 3):
-            ids, labels, raw = table.column("id").to_numpy(), table.column("label").to_numpy(), table.column("shingles")
+            labels, raw = table.column("label").to_numpy(), table.column("shingles")
             out = []
             for x, y in zip(bounds[:-1], bounds[1:], strict=True):
                 if y - x > 1:
                     own = [np.frombuffer(raw[int(k)].as_py(), np.uint64) for k in range(x, y)]
-                    out += [(ids[x + a], ids[x + b]) for a, b in connect(own, percent, labels[x:y])]
+                    out += [(labels[x + a], labels[x + b]) for a, b in connect(own, percent, labels[x:y])]
             a, b = np.array(out, np.int64).reshape(-1, 2).T
             yield pa.record_batch([pa.array(a), pa.array(b)], ["a", "b"])
 
     met = hopeful.join(sets_of(hopeful.select("id").distinct()), "id").select("key", "i", "j", "id", "label", "shingles")
     more = met.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(confirm, "a long, b long")
-    found = stored(components(links.union(more)), "components")
+    # Links between components of the stars, and with single classes.
+    wider = stored(components(stored(more, "links")), "components").select(F.col("node").alias("component"), F.col("component").alias("wider"))
 
-    joined = classes.join(found.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    least = joined.groupBy("component").agg(F.min("doc_id").alias("least"))
-    labelled = joined.select(*content, "component").join(least, "component").select(*content, "least")
+    joined = classes.join(found, "id", "left").withColumn("component", F.coalesce("component", "id")).join(wider, "component", "left").withColumn("component", F.coalesce("wider", "component")).drop("wider")
+    least = joined.groupBy("component").agg(F.min(F.struct("doc_id", "text_key")).alias("least")).select("component", F.col("least.doc_id").alias("least"), F.col("least.text_key").alias("component_key"))
+    labelled = joined.select(*content, "component").join(least, "component").select(*content, "least", "component_key")
     out = sigs.select("doc_id", "text_key", *content).join(labelled, content, "left")
     component = F.when(F.col("doc_id").isNull(), None).when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("least"))
-    out = out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), "text_key")
-    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "text_key")
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), "text_key", "component_key")
+    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "text_key", "component_key")

@@ -74,7 +74,7 @@ def test_a_large_group_in_chunks(spark):
 
 def test_nothing(spark):
     assert near_dedup.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
-    assert [tuple(r) for r in near_dedup.near_duplicates(spark.createDataFrame([(3, None)], "doc_id long, text string")).collect()] == [(3, 0, 3, True, -1)]
+    assert [tuple(r) for r in near_dedup.near_duplicates(spark.createDataFrame([(3, None)], "doc_id long, text string")).collect()] == [(3, 0, 3, True, -1, None)]
 
 
 def test_signatures_estimate_similarity():
