@@ -48,8 +48,8 @@ def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     several of them are near-duplicates the first by the text's key stays.
     """
     groups = stored(near_dedup.near_duplicates(docs, shingle=5, percent=80).where("doc_id IS NOT NULL"), "groups")
-    first = groups.where("kept AND n_shingles > 0").groupBy("component_id").agg(F.min("text_key").alias("first_key"))
-    rows = groups.join(first, "component_id", "left").withColumn("stays", F.col("kept") & ((F.col("n_shingles") == 0) | (F.col("text_key") == F.col("first_key"))))
+    named_by = F.col("kept") & (F.col("text_key") == F.col("component_key"))
+    rows = groups.withColumn("stays", (F.col("n_shingles") == 0) | named_by)
     rows = rows.groupBy("doc_id", "text_key").agg(F.min("stays").alias("stays"), F.count(F.lit(1)).alias("times"))
     # Narrow tables, of the documents that go and of those that repeat; most documents are in neither.
     marked = stored(rows.where("NOT stays OR times > 1").select(F.col("doc_id").alias("m_doc"), F.col("text_key").alias("m_key"), "stays"), "near-copies")
