@@ -260,6 +260,18 @@ class Model:
         self.vocabulary, self.settings = vocabulary, vocabulary.settings
         self.tables = [np.zeros((rows, bias.shape[-1]), np.float32) for rows, bias in zip(self.settings.rows, vocabulary.bias, strict=True)]
         self.squares = [np.full(len(t), 1e-2, np.float32) for t in self.tables]
+        self._held: dict[tuple[str, int], np.ndarray] = {}
+
+    def _space(self, use: str, k: int, n: int) -> np.ndarray:
+        """Room for ``n`` rows of a table, the same at each call, as new memory costs more than what is done in it."""
+        held = self._held.get((use, k))
+        if held is None or len(held) < n:
+            held = self._held[use, k] = np.empty((max(n, self.settings.batch), self.tables[k].shape[1]), np.float32)
+        return held[:n]
+
+    def _rows_of(self, table: np.ndarray, rows: np.ndarray, use: str, k: int) -> np.ndarray:
+        # All rows lie in the table; any other mode than "raise" writes to ``out`` directly.
+        return np.take(table, rows, axis=0, out=self._space(use, k, len(rows)), mode="clip")
 
     def rows(self, k: int, hashed: np.ndarray, node: np.ndarray | None = None) -> np.ndarray:
         """Rows of a table: of the features, and of the features and a node."""
@@ -268,10 +280,11 @@ class Model:
         return (hashed >> U(40)).astype(np.int64) & (len(self.tables[k]) - 1)
 
     def _softmax(self, k: int, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Probabilities of all choices, which stand until the next call."""
         table = self.tables[k]
-        p = table[rows[0]]
+        p = self._rows_of(table, rows[0], "p", k)
         for r in rows[1:]:
-            p += table[r]
+            p += self._rows_of(table, r, "row", k)
         p += bias
         np.minimum(p, LARGEST, out=p)  # biases are 0 at most, so no more is needed against overflow
         np.exp(p, out=p)
@@ -287,7 +300,7 @@ class Model:
         for a in range(0, len(which), self.settings.batch):
             b = slice(a, a + self.settings.batch)
             rows = self.rows(1, hashed[:, which[b]], node[b])
-            yield 1, which[b], rows, choice[b], self._softmax(1, self.vocabulary.bias[1][node[b]], rows)
+            yield 1, which[b], rows, choice[b], self._softmax(1, self._rows_of(self.vocabulary.bias[1], node[b], "bias", 1), rows)
 
     def train(self, before: np.ndarray, ids: np.ndarray, times: np.ndarray) -> None:
         """Steps over events, each of which counts as often as ``times`` says."""
@@ -305,7 +318,7 @@ class Model:
         for a in range(0, len(ids), self.settings.batch):
             own = out[a : a + self.settings.batch]
             for _, which, _, choice, p in self._steps(before[:, a : a + self.settings.batch], ids[a : a + self.settings.batch]):
-                np.add.at(own, which, np.log10(np.maximum(p[np.arange(len(choice)), choice].astype(np.float64), 1e-30)))
+                own += np.bincount(which, np.log10(np.maximum(p[np.arange(len(choice)), choice].astype(np.float64), 1e-30)), len(own))
         return out
 
     def _step(self, k: int, rows: np.ndarray, wrong: np.ndarray) -> None:
@@ -318,7 +331,7 @@ class Model:
         first = np.flatnonzero(np.concatenate(([True], flat[1:] != flat[:-1])))
         times = np.diff(first, append=len(flat))
         alone = times == 1
-        self._update(k, flat[first[alone]], wrong[token[first[alone]]])
+        self._update(k, flat[first[alone]], self._rows_of(wrong, token[first[alone]], "gradient", k))
         if not alone.all():
             # Sums run along memory where a row is a class.
             several = np.repeat(~alone, times)
@@ -327,10 +340,13 @@ class Model:
             self._update(k, flat[first[~alone]], sums.T)
 
     def _update(self, k: int, touched: np.ndarray, gradient: np.ndarray) -> None:
-        """A step along the gradients of different rows."""
+        """A step along the gradients of different rows, which are scaled in place."""
         squares = self.squares[k][touched] + np.einsum("ij,ij->i", gradient, gradient)
         self.squares[k][touched] = squares
-        self.tables[k][touched] -= gradient * (self.settings.step / np.sqrt(squares))[:, None]
+        gradient *= (self.settings.step / np.sqrt(squares))[:, None]
+        weights = self._rows_of(self.tables[k], touched, "row", k)
+        weights -= gradient
+        self.tables[k][touched] = weights
 
 
 # Packed tokens
