@@ -72,6 +72,8 @@ PACKED, DECODED = 1 << 21, 1 << 16
 BY_WORD = 4
 #: Tokens that a task counts before it hands the counts on.
 COUNTED = 1 << 21
+#: Groups of rows that are added up together.
+SEVERAL = 16
 #: The largest sum of weights and bias.
 LARGEST = 60.0
 
@@ -286,7 +288,8 @@ class Model:
         for r in rows[1:]:
             p += self._rows_of(table, r, "row", k)
         p += bias
-        np.minimum(p, LARGEST, out=p)  # biases are 0 at most, so no more is needed against overflow
+        if p.size and p.max() > LARGEST:  # biases are 0 at most, so no more is needed against overflow
+            np.minimum(p, LARGEST, out=p)
         np.exp(p, out=p)
         p /= (p @ np.ones(p.shape[1], np.float32))[:, None]
         return p
@@ -331,22 +334,47 @@ class Model:
         first = np.flatnonzero(np.concatenate(([True], flat[1:] != flat[:-1])))
         times = np.diff(first, append=len(flat))
         alone = times == 1
-        self._update(k, flat[first[alone]], self._rows_of(wrong, token[first[alone]], "gradient", k))
+        norms, of = _norms(wrong), token[first[alone]]
+        self._update(k, flat[first[alone]], self._rows_of(wrong, of, "gradient", k), norms[of])
         if not alone.all():
-            # Sums run along memory where a row is a class.
-            several = np.repeat(~alone, times)
-            starts = np.cumsum(times[~alone]) - times[~alone]
-            sums = np.add.reduceat(np.take(np.ascontiguousarray(wrong.T), token[several], axis=1), starts, axis=1)
-            self._update(k, flat[first[~alone]], sums.T)
-
-    def _update(self, k: int, touched: np.ndarray, gradient: np.ndarray) -> None:
-        """A step along the gradients of different rows, which are scaled in place."""
-        squares = self.squares[k][touched] + np.einsum("ij,ij->i", gradient, gradient)
+            sums = _sums(wrong, token, first[~alone], times[~alone])
+            self._update(k, flat[first[~alone]], sums, _norms(sums))
+
+    def _update(self, k: int, touched: np.ndarray, gradient: np.ndarray, norms: np.ndarray) -> None:
+        """A step along the gradients of different rows, which are scaled in place; ``norms`` are their squared lengths."""
+        squares = self.squares[k][touched] + norms
         self.squares[k][touched] = squares
         gradient *= (self.settings.step / np.sqrt(squares))[:, None]
         weights = self._rows_of(self.tables[k], touched, "row", k)
         weights -= gradient
-        self.tables[k][touched] = weights
+        _whole(self.tables[k])[touched] = _whole(weights)
+
+
+def _sums(rows: np.ndarray, of: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The sum of the rows of each group, which are those that ``of`` names from its start on.
+
+    All groups take their next row at once, while there are many with one; the rest of the large ones is added up by group.
+    """
+    order = np.argsort(-sizes, kind="stable")
+    starts, sizes = starts[order], -sizes[order]
+    sums, taken = rows[of[starts]], 1
+    while (many := np.searchsorted(sizes, -taken)) >= SEVERAL:
+        sums[:many] += rows[of[starts[:many] + taken]]
+        taken += 1
+    for group in range(many):
+        sums[group] += rows[of[starts[group] + taken : starts[group] - sizes[group]]].sum(axis=0)
+    out = np.empty_like(sums)
+    out[order] = sums
+    return out
+
+
+def _norms(rows: np.ndarray) -> np.ndarray:
+    return np.einsum("ij,ij->i", rows, rows)
+
+
+def _whole(rows: np.ndarray) -> np.ndarray:
+    """Rows as single values, which are written in one piece."""
+    return rows.view(np.dtype((np.void, rows.itemsize * rows.shape[1]))).ravel()
 
 
 # Packed tokens
