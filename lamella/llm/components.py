@@ -13,15 +13,18 @@ from pyspark.sql import functions as F
 
 from lamella.llm.common import stored
 
+#: Links that a file of a step has, about, and files that it has at most where links are few.
+LINKS, FILES = 100_000, 8
 
-def _stars(links: DataFrame) -> DataFrame:
-    """Both steps once; links are ``(a, b)`` with a > b."""
+
+def _stars(links: DataFrame, files: int) -> DataFrame:
+    """Both steps once, in tables of as many files; links are ``(a, b)`` with a > b."""
     both = links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(links.select(F.col("b").alias("u"), F.col("a").alias("v")))
     # Stored, so that both sides of the join are dealt out anew and Spark may split a hot node's side.
-    least = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+    least = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least", files)
     large = both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a > b").distinct()
-    large = stored(large, "stars")
-    root = stored(large.groupBy("a").agg(F.min("b").alias("m")), "least")
+    large = stored(large, "stars", files)
+    root = stored(large.groupBy("a").agg(F.min("b").alias("m")), "least", files)
     small = large.join(root, "a")
     return small.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a > b").union(root.select("a", F.col("m").alias("b"))).distinct()
 
@@ -36,5 +39,6 @@ def components(links: DataFrame) -> DataFrame:
         if found == state or not found["n"]:
             break
         state = found
-        now = stored(_stars(now), "links")
+        files = max(FILES, found["n"] // LINKS)
+        now = stored(_stars(now, files), "links", files)
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()

@@ -1,9 +1,12 @@
+import contextlib
+import glob
+import os
 import pathlib
 
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from lamella.llm import common
+from lamella.llm import common, components, quality
 
 
 def test_scratch_goes_and_results_stay(spark):
@@ -38,3 +41,34 @@ def test_packed_rows_come_back_whatever_their_names(spark):
 
 def test_only_ascii_is_lowered(spark):
     assert spark.createDataFrame([("AbZ ÄÉ İ",)], "t string").select(common.ascii_lower(F.col("t"))).first()[0] == "abz ÄÉ İ"
+
+
+@contextlib.contextmanager
+def files_written(spark, shuffle_partitions):
+    """A dictionary from the label of each stored table to the largest number of its files, filled at the end."""
+    conf = {"spark.sql.shuffle.partitions": str(shuffle_partitions), "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    was = {k: spark.conf.get(k) for k in conf}
+    found, before = {}, len(common._scratch)
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        yield found
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    for path in common._scratch[before:]:
+        label = os.path.basename(path).rpartition("-")[0]
+        found[label] = max(found.get(label, 0), len(glob.glob(f"{path.removeprefix('file:')}/part-*")))
+
+
+def test_tables_of_known_size_are_few_files(spark):
+    """However many partitions the shuffles have: each file that is written costs executors processes of their own."""
+    links = spark.range(300).selectExpr("id + 1 AS a", "id - id % 3 AS b")
+    with files_written(spark, 60) as found:
+        parts = {r.node: r.component for r in components.components(links).collect()}
+    assert parts == {k: 0 for k in range(301)}
+    assert found["links"] > 8 and 0 < found["stars"] <= components.FILES and 0 < found["least"] <= components.FILES  # the first links' number isn't known
+    docs = spark.range(40).selectExpr("id AS doc_id", "concat('text number ', id * id, md5(cast(id AS string))) AS text")
+    with files_written(spark, 60) as found:
+        quality.train(docs, docs.selectExpr("doc_id AS trusted_id"))
+    assert found and all(0 < found[k] <= quality.FILES for k in ("grams", "continuations", "contexts", "orders", "model"))
