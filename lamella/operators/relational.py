@@ -70,10 +70,43 @@ def cross(outer: DataFrame, inner: DataFrame) -> DataFrame:
 
 
 def theta(outer: DataFrame, inner: DataFrame, condition: Column) -> DataFrame:
-    """The pairs of rows for which the condition is true. Without an equality in it the work is the product of the sides."""
+    """The pairs of rows for which the condition is true. Without an equality in it the work is the product of the sides.
+
+    ``theta_count`` counts the pairs of one inequality without that.
+    """
     return outer.join(inner, condition, "inner")
 
 
+def theta_count(outer: DataFrame, inner: DataFrame, low: str, high: str, keys: str | Sequence[str], name: str = "n") -> DataFrame:
+    """The pairs with the outer's ``low`` below the inner's ``high``, counted by ``keys`` of the outer: a row a group with any.
+
+    The same as ``group_aggregate`` over ``theta``, but no pair is made: for each distinct value the inner's rows above it
+    are counted, and each outer row meets one such count. Values are dealt into ranges, the bounds of which Spark samples;
+    a count is that of the higher ranges plus that of the higher values of its own, so neither rows nor values meet in one
+    task. The ranges are checkpointed, which is a job of its own. A null is below and above nothing; NaN is above all else.
+    """
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    rows = outer.select(F.struct(*map(_named, keys)).alias("row"), _named(low).alias("low"))
+    above = _above(rows.select("low"), inner.select(_named(high).alias("high")))
+    counted = rows.join(above, F.col("low") == F.col("at")).groupBy("row").agg(F.sum("above").alias("n"))
+    return counted.select(*(F.col("row").getField(c).alias(c) for c in keys), F.coalesce("n", F.lit(0).cast("long")).alias(name))
+
+
+def _above(lows: DataFrame, highs: DataFrame) -> DataFrame:
+    """``at, above``: each distinct low that has any highs above it, and how many."""
+    shared_folder(lows.sparkSession)
+    points = lows.select(F.col("low").alias("at"), F.lit(True).alias("asked"), F.lit(0).cast("long").alias("n"))
+    points = points.unionAll(highs.select("high", F.lit(False), F.lit(1).cast("long"))).where(F.col("at").isNotNull())
+    points = points.groupBy("at").agg(F.max("asked").alias("asked"), F.sum("n").alias("n"))
+    ranged = points.repartitionByRange("at").withColumn("range", F.spark_partition_id()).checkpoint()  # small ranges may be merged
+    before = Window.rowsBetween(Window.unboundedPreceding, -1)
+    sizes = ranged.groupBy("range").agg(F.min("at").alias("from"), F.sum("n").alias("n"))  # one row a range
+    ends = sizes.select("range", F.coalesce(F.sum("n").over(before.orderBy(F.col("from").desc())), F.lit(0)).alias("beyond"))
+    own = F.coalesce(F.sum("n").over(before.partitionBy("range").orderBy(F.col("at").desc())), F.lit(0))
+    counts = ranged.withColumn("own", own).where("asked").join(ends, "range")
+    return counts.select("at", (F.col("beyond") + F.col("own")).alias("above")).where(F.col("above") > 0)
+
+
 def limit_rows(df: DataFrame, n: int, order_by: str | Column | Sequence[str | Column]) -> DataFrame:
     """The first ``n`` rows in that order, or all of fewer."""
     order = list(order_by) if isinstance(order_by, list | tuple) else [order_by]

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from lamella.functions.aggregates import count_all, count_column, custom, first_value, max_value, min_value, sum_f64, sum_i64
 from lamella.functions.scalar import add, bucket, int_div, multiply, negate, null_aware, vectorized
 from lamella.operators.accumulators import accumulate
-from lamella.operators.relational import aggregate, chain, cross, filter_rows, group_aggregate, limit_rows, project, theta, top_n, with_group_id
+from lamella.operators.relational import aggregate, chain, cross, filter_rows, group_aggregate, limit_rows, project, theta_count, top_n, with_group_id
 from lamella.operators.sinks import to_rows, write_tsv
 from lamella.sources.generators import generated, table_function
 from lamella.sources.shared import shared_folder
@@ -223,8 +223,7 @@ def cross_join_empty(spark, folder):
 
 @query("SELECT s_suppkey, count(*) AS n FROM supplier JOIN customer ON s_acctbal < c_acctbal GROUP BY s_suppkey")
 def theta_join(spark, folder):
-    pairs = theta(table(spark, folder, "supplier"), table(spark, folder, "customer"), F.col("s_acctbal") < F.col("c_acctbal"))
-    return group_aggregate(pairs, "s_suppkey", n=count_all())
+    return theta_count(table(spark, folder, "supplier"), table(spark, folder, "customer"), "s_acctbal", "c_acctbal", "s_suppkey")
 
 
 @query("SELECT o_orderkey, o_custkey FROM orders ORDER BY o_orderkey LIMIT 15")

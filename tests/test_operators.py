@@ -272,6 +272,32 @@ def test_operators_in_a_chain(spark):
     assert to_rows(out) == [(0,), (2,), (4,)]
 
 
+def test_pairs_of_an_inequality_are_counted_unmade(spark):
+    from lamella.operators.relational import theta_count
+    from lamella.plans import catalogue
+
+    lows = [0.0, -0.0, 1.5, None, float("nan"), float("-inf"), float("inf"), 2.5]
+    outer = spark.createDataFrame([(k % 5 or None, f"{k % 2}", lows[k % 8]) for k in range(60)], "`k.1` long, n string, low double").repartition(3)
+    inner = spark.createDataFrame([(float(k % 9) / 2 - 1,) for k in range(100)] + [(x,) for x in lows], "row double").repartition(2)
+    pairs = theta(outer, inner, F.col("low") < F.col("row"))
+    for keys in ("k.1", ["n", "k.1"], ["low"]):
+        names = [keys] if isinstance(keys, str) else keys
+        out = theta_count(outer, inner, "low", "row", keys, "pairs")
+        assert out.columns == [*names, "pairs"]
+        expected = group_aggregate(pairs, [f"`{c}`" for c in names], pairs=count_all())
+        assert sorted(to_rows(out), key=repr) == sorted(to_rows(expected), key=repr) != []
+    for o, i in ((outer.where("false"), inner), (outer, inner.where("false")), (outer.where("low IS NULL"), inner), (outer.where("isnan(low)"), inner)):
+        assert to_rows(theta_count(o, i, "low", "row", "n")) == []
+    whole = sequence(spark, 7, a=Counting(0)), sequence(spark, 7, b=F.col("id") + 0.5)
+    assert sorted(to_rows(theta_count(*whole, "a", "b", "a"))) == [(k, 7 - k) for k in range(7)]
+    a, b = 40_000, 50_000  # two thousand million pairs
+    many = theta_count(sequence(spark, a, x=F.col("id") * 7 % a), sequence(spark, b, y=F.col("id") * 3 % b), "x", "y", "x")
+    assert to_rows(many.agg(F.count("x"), F.sum("n"), F.max(F.abs(F.col("n") + F.col("x") + 1 - b)))) == [(a, a * b - a * (a + 1) // 2, 0)]
+    plan = catalogue.theta_join(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan  # there was one, of 54 thousand million pairs on 60 times sf0.1
+    assert plan.count("SinglePartition") <= plan.count("Window [sum(n")
+
+
 def test_entry_without_the_corpus_operators(monkeypatch):
     """Whatever module of theirs is missing, the other queries are there."""
     import importlib
